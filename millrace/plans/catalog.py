@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import dedup_queries, policy_queries
+
+MODULES = [policy_queries, dedup_queries]
 
 
 def queries() -> dict:
