@@ -79,7 +79,8 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text"
     j = docs.withColumn("_th", F.xxhash64(text)).join(gone, F.col(doc).eqNullSafe(gone["_d"]) & (F.col("_th") == gone["_t"]), "left")
     parts = F.split(text_or_empty(text), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n")
+    # the lambda variable holds the lines: split once a row, not once a line
+    kept = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: F.element_at(p, i + 1)), "\n")), 1)
     out = {text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)}
     if keep_counts:
         out |= {"n_lines": F.size(parts).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}

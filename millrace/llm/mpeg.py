@@ -88,7 +88,7 @@ def id3v2(data: bytes) -> tuple[int, dict[str, str]]:
             code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
             text = body[1:].decode(code, "replace").rstrip("\x00")
             key, _, value = text.partition("\x00") if name == "TXXX" else (name, "", text)
-            tags[key] = value.lstrip("﻿")
+            tags[key] = value.lstrip("\ufeff")
         at += 10 + n
     return min(10 + size, len(data)), tags
 
