@@ -168,11 +168,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one row of each component: the one with the smallest key, of several such the first text."""
+    # the hash of its text stands for a row: one key serves the join and the last dedup, so texts shuffle once
+    row = lambda df: F.concat(F.coalesce(df[key].cast("string"), F.lit("n")), F.lit(":"), F.xxhash64(df[text]).cast("string"))
     near = near_duplicates(docs, key, text)
-    stay = near.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    kept = docs.join(stay, docs[key].eqNullSafe(F.col("_k")), "left_semi")
-    # rows with the same key have the same component only if they are near each other; such keys are rare
-    return kept.dropDuplicates([key])
+    winners = near.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
+    first = docs.select(F.col(key).alias("_k"), row(docs).alias("_row")).join(winners.withColumnRenamed("_k", "_w"), F.col("_k").eqNullSafe(F.col("_w")), "left_semi").groupBy("_k").agg(F.min("_row").alias("_row"))
+    return docs.withColumn("_row", row(docs)).join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
