@@ -43,8 +43,10 @@ def duck(small):
 
 
 def same(got, want):
-    """Equal rows whatever their order, columns by name."""
+    """A Spark frame and a DuckDB relation with equal rows whatever their order, columns by name."""
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
-    rows = lambda p: sorted(map(str, p[cols].astype(object).where(p[cols].notna(), None).values.tolist()))
-    assert rows(got) == rows(want)
+    at = [want.columns.index(c) for c in cols]
+    left = sorted(repr(tuple(r[c] for c in cols)) for r in got.collect())
+    right = sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+    assert left == right

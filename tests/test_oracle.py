@@ -12,7 +12,7 @@ SQL = catalog.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(name, spark, small, duck):
     ship(spark)
-    same(catalog.queries()[name](spark, small).toPandas(), duck.sql(SQL[name]).df())
+    same(catalog.queries()[name](spark, small), duck.sql(SQL[name]))
 
 
 def test_every_sql_has_its_query():
