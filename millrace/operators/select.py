@@ -9,24 +9,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def before(amount: Column, *by: str, order: list) -> Column:
-    """The running total before the row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(amount).over(w), F.lit(0))
+#: Slices of a total order that are summed on their own.
+SLICES = 1024
 
 
-def quota_prefix(df: DataFrame, amount: str, bucket: str, target: Column, order: list) -> DataFrame:
+def slice_of(df: DataFrame, first: str) -> Column:
+    """The slice of a row by its first order column: of a hash (hexadecimal) its head, of a number its share of the range.
+
+    A slice holds a stretch of the order, so running totals need the slices' totals and each slice's own rows only.
+    """
+    if dict(df.dtypes)[first] == "string":
+        return F.conv(F.substring(first, 1, 3), 16, 10).cast("int")
+    lo, hi = df.agg(F.min(first), F.max(first)).first()
+    if lo is None or lo == hi:
+        return F.lit(0)
+    return F.least(F.lit(SLICES - 1), F.floor((F.col(first) - F.lit(lo)) / F.lit(float(hi - lo)) * SLICES)).cast("int")
+
+
+def with_before(df: DataFrame, amount: Column, order: list[str], by: list[str] | None = None, into: str = "_before") -> DataFrame:
+    """df with the total of `amount` over the rows before each, per `by`, at any size and skew.
+
+    One window over all rows, or over a hot group, would be one task. Here slices of the order are totalled with map-side
+    combination, a window over at most a few thousand slice totals per group gives each slice's start, and the rows of a
+    slice are summed by the task that has it.
+    """
+    by = by or []
+    sliced = df.withColumns({"_slice": slice_of(df, order[0]), "_amount": amount})
+    totals = sliced.groupBy(*by, "_slice").agg(F.sum("_amount").alias("_t"))
+    start = F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select(*by, "_slice", start.alias("_start"))
+    w = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return sliced.join(starts, [*by, "_slice"]).withColumn(into, F.col("_start") + F.coalesce(F.sum("_amount").over(w), F.lit(0))).drop("_slice", "_amount", "_start")
+
+
+def with_rank(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """df with the place of each row in a total order, from 1."""
+    return with_before(df, F.lit(1), order, into=into).withColumn(into, (F.col(into) + 1).cast("long"))
+
+
+def quota_prefix(df: DataFrame, amount: str, bucket: str | None, target: Column, order: list[str]) -> DataFrame:
     """Rows while their bucket's total before them is under the target, so it may be passed by one row."""
-    return df.withColumn("_before", before(F.col(amount), bucket, order=order)).where(F.col("_before") < target).drop("_before")
+    return with_before(df, F.col(amount), order, [bucket] if bucket else None).where(F.col("_before") < target).drop("_before")
 
 
 def top_per(df: DataFrame, by: str, n: int, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
-def interleave(df: DataFrame, amount: str, source: str, weight: Column, order: list) -> Column:
-    """The place in a mix that always takes from the source with the least emitted amount per weight."""
-    return before(F.greatest(F.lit(1), F.col(amount)), source, order=order) / weight
+def interleave(df: DataFrame, amount: str, source: str, weight: str, order: list[str], into: str = "at") -> DataFrame:
+    """df with its place in a mix that always takes from the source with the least emitted amount per weight."""
+    return with_before(df, F.greatest(F.lit(1), F.col(amount)), order, [source], into).withColumn(into, F.col(into) / F.col(weight))
 
 
 def largest_remainder(shares: DataFrame, total: int, share: str = "share", rank: str = "rank") -> DataFrame:

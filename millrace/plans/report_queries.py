@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import report as R
+from ..operators import select as S
 from . import policy_queries as pq
 from .fixtures import RECORDS, counted, records, squeeze_sql, table, values
 
@@ -56,8 +57,7 @@ def curriculum_audit(spark, d):
 def tokenizer_efficiency(spark, d):
     """Bytes per token of two tokenizers by category, over a budget of bytes per category, and the change between them."""
     r = counted(records(spark, d)).withColumn("other", F.size(F.split(T.squeeze(F.col("text")), " ")).cast("long"))
-    w = Window.partitionBy("category").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    cut = r.drop("text").withColumn("b", F.coalesce(F.sum("bytes").over(w), F.lit(0))).where("b < 300000")
+    cut = S.with_before(r.drop("text"), F.col("bytes"), ["ord"], ["category"], "b").where("b < 300000")
     t, o = F.sum("tokens"), F.sum("other")
     return cut.groupBy("category").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"), t.alias("tokens"), o.alias("reference_tokens"), (F.sum("bytes") / t).alias("bytes_per_token"), ((t - o) / o).alias("token_change"))
 

@@ -78,8 +78,7 @@ def document_cap(spark, d):
 def family_topk(spark, d):
     """Ten of each repository by priority, then by priority overall until the tokens reach the target."""
     r = counted(records(spark, d)).withColumn("priority", T.sha(F.concat_ws(":", F.lit("5"), "path"))).drop("text")
-    top = S.top_per(r, "repository", 10, ["priority"]).withColumn("all", F.lit(1))
-    return S.quota_prefix(top, "tokens", "all", F.lit(30_000), ["priority"]).select(F.col("ord").alias("doc_id"), "repository", "tokens")
+    return S.quota_prefix(S.top_per(r, "repository", 10, ["priority"]), "tokens", None, F.lit(30_000), ["priority"]).select(F.col("ord").alias("doc_id"), "repository", "tokens")
 
 
 def pool_select(spark, d):
@@ -104,20 +103,20 @@ def pool_select(spark, d):
 def teacher_replay(spark, d):
     """Rows times replays, in order of replay, until the tokens reach the target; the last may pass it."""
     r = counted(records(spark, d)).where(F.col("source") == "src4").select("ord", "repository", "tokens")
-    rep = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("replay")).withColumn("all", F.lit(1))
-    got = S.quota_prefix(rep, "tokens", "all", F.lit(60_000), ["replay", "ord"])
+    rep = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("replay"))
+    got = S.quota_prefix(rep, "tokens", None, F.lit(60_000), ["replay", "ord"])
     return got.select(F.col("ord").alias("doc_id"), "replay", F.when(F.col("replay") > 0, F.concat("repository", F.lit("/replay-"), "replay")).otherwise(F.col("repository")).alias("repository"))
 
 
 def token_split(spark, d):
     """Whole documents: the first tokens to validation, the next to training, the rest to neither."""
-    r = counted(records(spark, d)).withColumn("b", S.before(F.col("tokens"), order=["ord"]))
+    r = S.with_before(counted(records(spark, d)).select("ord", "tokens"), F.col("tokens"), ["ord"], into="b")
     return r.select(F.col("ord").alias("doc_id"), F.when(F.col("b") < 20_000, "validation").when(F.col("b") < 200_000, "train").otherwise("unused").alias("part"))
 
 
 def positional_cut(spark, d):
     """A 90/10 cut of the token stream by position: how many tokens of each document fall on each side."""
-    r = counted(records(spark, d)).select("ord", "tokens").withColumn("b", S.before(F.col("tokens"), order=["ord"]))
+    r = S.with_before(counted(records(spark, d)).select("ord", "tokens"), F.col("tokens"), ["ord"], into="b")
     total = r.agg(F.floor(F.sum("tokens") * 0.9).cast("long").alias("cut"))
     left = F.least(F.greatest(F.col("cut") - F.col("b"), F.lit(0)), F.col("tokens"))
     return r.crossJoin(total).select(F.col("ord").alias("doc_id"), left.cast("long").alias("train"), (F.col("tokens") - left).cast("long").alias("held"))
@@ -128,16 +127,15 @@ _WEIGHT = "CASE source WHEN 'src0' THEN 4.0 WHEN 'src1' THEN 2.0 ELSE 1.0 END"
 
 def token_share_mix(spark, d):
     """The order of a mix by weight: a global sort by emitted tokens over weight equals the step-by-step choice."""
-    r = counted(records(spark, d)).withColumn("weight", F.expr(_WEIGHT).cast("double"))
-    place = S.interleave(r, "tokens", "source", F.col("weight"), ["ord"])
-    return r.withColumn("at", place).select(F.col("ord").alias("doc_id"), F.row_number().over(Window.orderBy("at", "source")).cast("long").alias("position"))
+    r = counted(records(spark, d)).select("ord", "source", "tokens", F.expr(_WEIGHT).cast("double").alias("weight"))
+    return S.with_rank(S.interleave(r, "tokens", "source", "weight", ["ord"]), ["at", "source"], "position").select(F.col("ord").alias("doc_id"), "position")
 
 
 def budget_split(spark, d):
     """Native texts until 70 % of a budget, then others from the rows not used until the whole of it."""
-    r = counted(records(spark, d)).withColumn("h", T.sha(F.concat_ws(":", F.lit("3"), "path"))).withColumn("b", S.before(F.col("tokens"), order=["h"]))
-    part = r.withColumn("part", F.when(F.col("b") < 70_000, "native").otherwise("pair"))
-    return part.withColumn("b2", S.before(F.col("tokens"), "part", order=["h"])).where((F.col("part") == "native") | (F.col("b2") < 30_000)).select(F.col("ord").alias("doc_id"), "part")
+    r = counted(records(spark, d)).select("ord", "tokens", T.sha(F.concat_ws(":", F.lit("3"), "path")).alias("h"))
+    part = S.with_before(r, F.col("tokens"), ["h"], into="b").withColumn("part", F.when(F.col("b") < 70_000, "native").otherwise("pair"))
+    return S.with_before(part, F.col("tokens"), ["h"], ["part"], "b2").where((F.col("part") == "native") | (F.col("b2") < 30_000)).select(F.col("ord").alias("doc_id"), "part")
 
 
 def repeat_factor(spark, d):
@@ -156,13 +154,13 @@ def next_fit_pack(spark, d):
 
 
 def stride_sample(spark, d):
-    return records(spark, d).withColumn("rn", F.row_number().over(Window.orderBy("ord"))).where(F.col("rn") % 80 == 0).select(F.col("ord").alias("doc_id"))
+    return S.with_rank(records(spark, d).select("ord"), ["ord"], "rn").where(F.col("rn") % 80 == 0).select(F.col("ord").alias("doc_id"))
 
 
 def stable_order(spark, d):
     """The seeded order of paths by hash, as ranks."""
-    h = T.sha(F.concat_ws(":", F.lit("13"), F.col("path")))
-    return records(spark, d).select(F.col("ord").alias("doc_id"), F.row_number().over(Window.orderBy(h)).cast("long").alias("place"))
+    r = records(spark, d).select("ord", T.sha(F.concat_ws(":", F.lit("13"), F.col("path"))).alias("h"))
+    return S.with_rank(r, ["h"], "place").select(F.col("ord").alias("doc_id"), "place")
 
 
 def offset_limit(spark, d):

@@ -67,7 +67,7 @@ def test_interleave_is_the_greedy_choice(spark):
     docs = [(i, rng.choice("abc"), rng.randint(1, 30)) for i in range(120)]
     weight = {"a": 3.0, "b": 1.0, "c": 2.0}
     df = spark.createDataFrame(docs, "ord long, source string, tokens long").withColumn("w", F.expr("CASE source WHEN 'a' THEN 3D WHEN 'b' THEN 1D ELSE 2D END"))
-    got = [r[0] for r in df.withColumn("at", select.interleave(df, "tokens", "source", F.col("w"), ["ord"])).orderBy("at", "source").select("ord").collect()]
+    got = [r[0] for r in select.interleave(df, "tokens", "source", "w", ["ord"]).orderBy("at", "source").select("ord").collect()]
     queues = {s: [d for d in docs if d[1] == s] for s in "abc"}
     emitted, want = dict.fromkeys("abc", 0.0), []
     while any(queues.values()):
