@@ -30,6 +30,8 @@ SKIPPED = (
     "build checkpoints coverage data dist generated node_modules release-assets runs site target third-party third_party tokenizers vendor vendors venv"
 ).split()
 LOCKS = "cargo.lock composer.lock go.sum package-lock.json pnpm-lock.yaml poetry.lock yarn.lock".split()
+#: A plain string of which each pattern's match holds one: looked for first.
+HINTS = [["PRIVATE KEY"], ["gho_", "ghp_", "ghs_", "ghu_"], ["AKIA"], ["sk-"]]
 SECRETS = [
     r"-----BEGIN ((RSA|EC|OPENSSH) )?PRIVATE KEY-----",
     r"\bgh[opsu]_[0-9A-Za-z]{30,}\b",
@@ -97,6 +99,17 @@ def license_of(values: Column, allowed: list[str] = ALLOWED) -> Column:
     return F.when((F.size(named) > 0) & F.forall(named, lambda v: v.isin(allowed)), F.array_min(named))
 
 
+def secret(text: Column, extra: list[str] | None = None) -> Column:
+    """Any of the secret patterns."""
+    hit = F.lit(False)
+    for hints, p in zip(HINTS, SECRETS):
+        some = F.lit(False)
+        for h in hints:
+            some = some | text.contains(h)
+        hit = hit | (some & text.rlike(p))
+    return hit | text.rlike("|".join(extra)) if extra else hit
+
+
 def row_reason(blocked: list[str] | None = None, limits: dict | None = None, extra_secrets: list[str] | None = None, allowed: list[str] = ALLOWED) -> Column:
     """The first of the row-local reject reasons of (text, category, repository, path, license), null if none holds.
 
@@ -113,7 +126,7 @@ def row_reason(blocked: list[str] | None = None, limits: dict | None = None, ext
         .when(F.contains(text, F.lit("\x00")), "binary")
         .when(skipped(F.col("path")), "excluded_path")
         .when(F.lower(F.substring(text, 1, 4096)).rlike(MARKERS), "generated")
-        .when(text.rlike("|".join(f"(?:{p})" for p in SECRETS + (extra_secrets or []))), "secret")
+        .when(secret(text, extra_secrets), "secret")
         .when(where.rlike("|".join(re.escape(b) for b in block)) if block else F.lit(False), "evaluation_contamination")
         .when(T.longest_line_bytes(text) > lim["line"], "long_line")
         .when(T.printable_fraction(text) < lim["printable"], "low_printable_fraction")

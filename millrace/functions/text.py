@@ -13,6 +13,8 @@ SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Not printable, the three usual control characters apart.
 UNPRINTABLE = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\r\t]]"
+#: Anything but the Latin characters that are all printable: most texts have none, so the class above is seldom tried.
+COMMON = r"[^\x20-\x7e\n\r\t\xa1-\xac\xae-\u024f]"
 WORD = r"[a-zA-Z_][a-zA-Z0-9_]*"
 PRETOKEN = r"[A-Za-z_]+|[0-9]+|[^\sA-Za-z_0-9]"
 
@@ -26,9 +28,12 @@ def sha(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def squeeze(c: Column) -> Column:
-    """Runs of white space become one blank, the ends are bare; case stays."""
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    """Runs of white space become one blank, the ends are bare; case stays. A table look-up per character, then a plain run of blanks."""
+    return F.trim(F.regexp_replace(F.translate(c, _SPACES, " " * len(_SPACES)), "  +", " "))
 
 
 def normal(c: Column) -> Column:
@@ -42,11 +47,12 @@ def lines(c: Column) -> Column:
 
 
 def longest_line_bytes(c: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(lines(c), F.octet_length)), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(F.split(c, LINE_END), F.octet_length)), F.lit(0))
 
 
 def printable_fraction(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, UNPRINTABLE, "")) / F.greatest(F.lit(1), F.length(c))
+    exact = (F.length(c) - F.regexp_count(c, F.lit(UNPRINTABLE))) / F.greatest(F.lit(1), F.length(c))
+    return F.when((c != "") & ~c.rlike(COMMON), F.lit(1.0)).otherwise(exact)
 
 
 def fraction(hex_digest: Column) -> Column:

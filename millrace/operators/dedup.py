@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.82, key: str = "ord", grou
     n - ceil(t n) + 1 of each. Only these words join, with sizes compatible with the threshold, and each candidate is
     verified once on the full sets.
     """
-    sets = df.select(F.col(key).alias("id"), F.col(group).alias("g"), T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0)
+    sets = df.select(F.col(key).alias("id"), F.col(group).alias("g"), T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0).persist(StorageLevel.MEMORY_AND_DISK)
     freq = sets.select("g", F.explode("w").alias("x")).groupBy("g", "x").agg(F.count("*").alias("f"))
     ranked = sets.select("id", "g", F.explode("w").alias("x")).join(freq, ["g", "x"]).groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"))
     n = F.size("r")

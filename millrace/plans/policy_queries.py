@@ -10,7 +10,7 @@ from .fixtures import RECORDS, counted, fraction_sql, normal_sql, records, squee
 
 PLANTED = r'token = "[0-9a-f]{40}"'
 LIM = P.LIMITS
-_LINES = r"[len(encode(x)) FOR x IN regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')]"
+_LINES = r"[strlen(x) FOR x IN regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')]"
 _REASON = f"""CASE WHEN category NOT IN ('code','documentation','english','structured','tool') THEN 'unknown_category'
   WHEN bytes < {LIM["low"]} THEN 'too_small' WHEN bytes > {LIM["high"]} THEN 'too_large' WHEN contains(text, chr(0)) THEN 'binary'
   WHEN regexp_matches(lower(substr(text, 1, 4096)), '{P.MARKERS}') THEN 'generated'
