@@ -42,6 +42,7 @@ class Pieces(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
         self.fold = fold
+        self.most = CACHE if fold else 2 * CACHE  # pieces with and without their blank are two
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -68,7 +69,7 @@ class Pieces(dict):
             else:
                 got = self.encode(piece)
         if len(piece) <= KEEP:
-            if len(self) >= CACHE:  # the last generation answers until it too is replaced
+            if len(self) >= self.most:  # the last generation answers until it too is replaced
                 self.old = dict(self)
                 self.clear()
             self[piece] = got
