@@ -148,9 +148,8 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, _fp, n_near, component_id) for each row of docs."""
-    fps = cut(fingerprints(docs, key, text), "fingerprints")
+def _classes(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_fp, _n, _first, _linked, _root) of each distinct fingerprint of (_key, _fp), and (_root, component_id)."""
     nodes = cut(fps.groupBy("_fp").agg(F.count("*").alias("_n"), F.min("_key").alias("_first")), "fingerprint-nodes")
     pairs = cut(links(nodes), "fingerprint-links")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -161,19 +160,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "fingerprint-classes",
     )
     # all fingerprints of a class take its smallest id: a window would put a class into one task
-    lowest = full.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    return full, full.groupBy("_root").agg(F.min("_first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, _fp, n_near, component_id) for each row of docs."""
+    fps = cut(fingerprints(docs, key, text), "fingerprints")
+    full, lowest = _classes(fps)
     result = full.join(lowest, "_root").select("_fp", "_n", (F.col("_n") - 1 + F.col("_linked")).cast("long").alias("n_near"), "component_id")
     return skew_lookup(fps, cut(result, "fingerprint-result"), "_fp", "_n", "inner").select(F.col("_key").alias(key), "_fp", "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one row of each component: the one with the smallest key, of several such the first text."""
+    """docs without all but one row of each component: the one with the smallest key, of several such the first text.
+
+    A null key comes last. Keys need not be unique: rows are told apart by key and text.
+    """
+    at = F.struct(F.col(key).isNull().alias("x"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))
     # the hash of its text stands for a row: one key serves the join and the last dedup, so texts shuffle once
-    row = lambda df: F.concat(F.coalesce(df[key].cast("string"), F.lit("n")), F.lit(":"), F.xxhash64(df[text]).cast("string"))
-    near = near_duplicates(docs, key, text)
-    winners = near.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    first = docs.select(F.col(key).alias("_k"), row(docs).alias("_row")).join(winners.withColumnRenamed("_k", "_w"), F.col("_k").eqNullSafe(F.col("_w")), "left_semi").groupBy("_k").agg(F.min("_row").alias("_row"))
-    return docs.withColumn("_row", row(docs)).join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = lambda c: F.concat(F.coalesce(F.concat(F.lit("s"), c["k"].cast("string")), F.lit("n")), F.lit(":"), c["h"].cast("string"))
+    fps = cut(fingerprints(docs.select(at.alias("_at"), F.col(text).alias("_text")), "_at", "_text"), "fingerprints")
+    first = _classes(fps)[1].select(row(F.col("component_id")).alias("_row"))
+    return docs.withColumn("_row", row(at)).join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

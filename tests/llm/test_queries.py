@@ -266,6 +266,16 @@ def test_one_of_each_group_stays(spark, hard):
     assert kept.columns == docs.columns and kept.count() == comp.select("component_id").distinct().count()
 
 
+def test_one_of_each_group_stays_without_unique_ids(spark):
+    line = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=80))
+    a, b, c, d, e, f, g = map(line, range(7))
+    # ids of their own, none, one for two different texts (in a component with a smaller id, and not), and real copies
+    rows = [(1, a), (None, b), (None, c), (None, c), (None, a), (5, d), (5, e), (2, e), (7, f), (7, g), (9, g)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, a), (None, b), (None, c), (5, d), (2, e), (7, f), (7, g)]
+    assert by([r.asDict() for r in simhash.keep_one(docs).collect()], "doc_id", "text") == Counter(want)
+
+
 def test_mix_holds_its_targets(spark, hard):
     rows = got(spark, "op8_", hard)
     per = {}
