@@ -3,12 +3,14 @@
 Base spans are e-mail addresses, IPv4 addresses, card and phone numbers by fixed patterns. Every base value is a
 protected entity. The corpus then tells how strongly a term reveals an entity: with document counts over distinct
 texts, PMI(e; t) = log(n(e,t) N / (n(e) n(t))), and the term's share of what there is to know about the entity is
-PMI(e; t) / IC(e) with IC(e) = log(N / n(e)). A term beside an entity in at least SUPPORT distinct texts is generalised
-wherever it occurs if that share reaches GENERALISE for some entity, and removed if it reaches REMOVE.
+PMI(e; t) / IC(e) with IC(e) = log(N / n(e)). A term that stands with an entity in at least SUPPORT distinct texts is
+generalised wherever it occurs if that share reaches GENERALISE for some entity, and removed if it reaches REMOVE.
 
-Terms are the words within WINDOW words of an entity. Their document counts cover the whole corpus. What tasks are sent
-is a Bloom filter of fixed size (FILTER_BITS bits); what passes it is settled by a join, so nothing grows with the
-number of terms. A hot entity or term is combined before the shuffle, and hot terms are spread by `skew_lookup`.
+Terms are all words of a text that holds an entity, wherever they stand in it. Their document counts cover the whole
+corpus. The count among the texts that hold entities is at most that, so it bounds a pair's share from above, and pairs
+whose bound is too low are not looked up. What tasks are sent is a Bloom filter of fixed size (FILTER_BITS bits); what
+passes it is settled by a join, so nothing grows with the number of terms. A hot entity or term is combined before the
+shuffle, and hot terms are spread by `skew_lookup`.
 
 Defined cases: a null text counts as empty and has no span; repeated rows get equal spans and copies count once in the
 statistics; offsets are code points with the end exclusive; an empty table gives an empty result; other columns take no part.
@@ -30,7 +32,6 @@ from .work import batched, cut, map_arrow, skew_lookup, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERMS = ("generalise", "remove")
-WINDOW = 6
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -100,21 +101,18 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tb.hashes(folded, starts, ends).view(np.int64), chars[starts], chars[ends]
 
 
-def contexts(text: str) -> list[tuple[str, list[int]]]:
-    """Each entity of a text with the terms around its mention."""
+def contexts(text: str) -> tuple[list[str], list[int]]:
+    """The distinct entities of a text, and if there are any its distinct terms outside of them."""
     spans = base_spans(text)
     if not spans:
-        return []
+        return [], []
     h, a, b = _words(text)
-    inside = np.zeros(len(h), bool)
+    edge = np.zeros(len(text) + 2, np.int64)
     for _, s, e in spans:
-        inside |= (a < e) & (b > s)
-    h, a = h[~inside], a[~inside]
-    out = []
-    for kind, s, e in spans:
-        i = int(np.searchsorted(a, s))
-        out.append((entity(kind, text[s:e]), h[max(0, i - WINDOW) : i + WINDOW].tolist()))
-    return out
+        edge[s] += 1
+        edge[e] -= 1
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+    return sorted({entity(k, text[s:e]) for k, s, e in spans}), np.unique(h[covered[a] == covered[b]]).tolist()
 
 
 def _bloom(terms: DataFrame) -> np.ndarray:
@@ -136,19 +134,26 @@ def disclosing(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(text).cast("string").alias("_text"), F.xxhash64(F.col(text).cast("string")).alias("_h")).where(F.col("_text").isNotNull())
 
-    def beside(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for e, terms in contexts(t):
-                rows.append((e, 0, h, True))
-                rows += [(e, x, h, False) for x in terms]
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=["_e", "_t", "_h", "_self"])
-
-    near = map_arrow(texts, beside, "_e string, _t long, _h long, _self boolean").distinct()
-    pairs = cut(near.groupBy(F.xxhash64("_e").alias("_e"), "_t", "_self").agg(F.count("*").alias("_both")).where(F.col("_both") >= SUPPORT), "pii-pairs")
-    terms = cut(pairs.where("not _self").select("_t").distinct(), "pii-terms")
+    def holding(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(h, e, t) for h, (e, t) in zip(b.column(1).to_pylist(), map(contexts, b.column(0).to_pylist())) if e]
+        cols = list(zip(*rows)) or [()] * 3
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_h", "_e", "_t"])
+
     total = texts.select("_h").distinct().count()
+    held = map_arrow(texts, holding, "_h long, _e array<string>, _t array<long>").dropDuplicates(["_h"])
+    held = cut(held.select(F.transform("_e", lambda e: F.xxhash64(e)).alias("_e"), "_t"), "pii-texts")
+    own = held.select(F.explode("_e").alias("_e")).groupBy("_e").agg(F.count("*").alias("_ne"))
+    own = cut(own.where((F.col("_ne") >= SUPPORT) & (F.col("_ne") < total)), "pii-entities")
+    beside = held.select(F.explode("_t").alias("_t")).groupBy("_t").agg(F.count("*").alias("_n")).where(F.col("_n") >= SUPPORT)
+    both = held.select(F.explode("_e").alias("_e"), "_t").join(own.select("_e"), "_e", "left_semi").select("_e", F.explode("_t").alias("_t"))
+    both = both.groupBy("_e", "_t").agg(F.count("*").alias("_both")).where(F.col("_both") >= SUPPORT).join(own, "_e")
+
+    pmi = F.log(F.col("_both") * F.lit(float(total)) / (F.col("_ne") * F.col("_n")))
+    share = pmi / F.log(F.lit(float(total)) / F.col("_ne"))
+    # the count among these texts is at most that of the corpus: the share can only be lower
+    pairs = cut(both.join(beside, "_t").where(share >= GENERALISE - 1e-9).drop("_n"), "pii-pairs")
+    terms = cut(pairs.select("_t").distinct(), "pii-terms")
     sent = spark.sparkContext.broadcast(_bloom(terms))  # 2**FILTER_BITS bits
 
     def occurring(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,11 +171,7 @@ def disclosing(docs: DataFrame, text: str = "text") -> DataFrame:
 
     count = map_arrow(texts, occurring, "_t long, _h long").distinct().groupBy("_t").agg(F.count("*").alias("_n"))
     count = count.join(terms, "_t", "left_semi")
-    own = pairs.where("_self").select("_e", F.col("_both").alias("_ne"))
-    scored = pairs.where("not _self").join(own, "_e").join(count, "_t")
-    pmi = F.log(F.col("_both") * F.lit(float(total)) / (F.col("_ne") * F.col("_n")))
-    ic = F.log(F.lit(float(total)) / F.col("_ne"))
-    found = scored.where(F.col("_ne") < total).withColumn("_share", pmi / ic).groupBy("_t").agg(F.max("_n").alias("_n"), F.max("_share").alias("_share"))
+    found = pairs.join(count, "_t").withColumn("_share", share).groupBy("_t").agg(F.max("_n").alias("_n"), F.max("_share").alias("_share"))
     return cut(found.where(F.col("_share") >= GENERALISE), "pii-disclosing")
 
 

@@ -182,6 +182,17 @@ def test_pii_base_and_terms(spark, hard, texts):
     assert "ab0zz" in terms and "quixotic" not in terms
 
 
+def test_pii_terms_stand_anywhere_in_the_text(spark):
+    rng = random.Random(4)
+    fill = lambda n: " ".join(rng.choice("abcdefgh") * 4 for _ in range(n))
+    # farther and mixed stand with one entity in all of its texts: always far away, and beside it in 3 of 10
+    rows = [f"farther {fill(30)} {'' if i < 3 else 'mixed ' + fill(20)} {'mixed' if i < 3 else ''} jo@x.org {fill(9)} {i}" for i in range(10)]
+    rows += [f"{fill(40)} {i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = [(r.doc_id, r._terms) for r in pii.find(docs).collect()]
+    assert Counter(rows[i][s.start : s.end] for i, ts in found for s in ts) == {"farther": 10, "mixed": 10}
+
+
 def test_sanitised_column(spark, hard):
     docs = spark.read.parquet(f"{hard}/documents.parquet").where("doc_id < 150").dropDuplicates(["doc_id"])
     out = pii.sanitise(docs)
