@@ -24,8 +24,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     n_chars follows the text. A document without any word from the start stays.
     """
-    left = linededup.remove_lines(docs.withColumn("_blank", F.trim(text_or_empty()) == ""))
-    left = left.where(F.col("_blank") | (F.trim(F.regexp_replace(text_or_empty(), r"\s+", " ")) != ""))
+    blank = F.trim(F.regexp_replace(text_or_empty(), r"\s+", " ")) == ""
+    left = linededup.remove_lines(docs.withColumn("_blank", blank)).where(F.col("_blank") | ~blank)
     return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 

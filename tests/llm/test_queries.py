@@ -374,6 +374,13 @@ def test_pipeline_is_its_stages_by_hand(spark, hard, texts):
     assert sum(r.length for r in got_rows) == sum(r.doc_tokens for r in got_rows if r.start == 0)
 
 
+def test_blank_documents_stay(spark):
+    rows = [(1, " \n\t ", "a", 4), (2, "\n\n", "b", 2), (3, "\t", "c", 1), (4, None, "d", None), (5, "", "e", 0), *((i, "one line", f"s{i}", 8) for i in range(6, 11))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert kept == {i: t for i, t, *_ in rows if i <= 6}
+
+
 def test_shared_folder_comes_from_the_session(spark):
     said = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert work.shared_dir(spark) == said if said else os.path.isdir(work.shared_dir(spark)[7:])
