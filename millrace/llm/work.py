@@ -3,33 +3,42 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
 #: Rows of text that go to a Python worker at once; with the usual few KB a document a batch is a few MB.
 ARROW_ROWS = 1000
-#: A key is hot when it holds more than this fraction of all rows, so that at most HOT_KEYS keys are hot.
-HOT_KEYS = 256
+#: A key is hot when it holds over 1/HOT_KEYS of all rows, so that at most HOT_KEYS keys are hot, and over MIN_HOT rows.
+HOT_KEYS = 4096
+MIN_HOT = 10_000
 
 _local_dir: str | None = None
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark itself reads it: without one it lies in the default file system, not on a worker's disk."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/(?!/)", "file:///", full)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one, in local mode alone."""
     global _local_dir
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found
+        return qualified(spark, found)
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_dir is None:
@@ -38,40 +47,74 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def cut(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there, so a lost executor loses nothing.
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, so a lost executor loses nothing."""
+    `spent` are earlier cuts that nothing but df reads: once df is written their files go.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for s in spent:
+        drop_dir(spark, s._cut_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Remove a work folder that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove all work folders of this application, once the results that read them are stored elsewhere."""
+    drop_dir(spark, run_dir(spark))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """A pyarrow filesystem and the path in it; usable in Python workers."""
-    if not urlparse(uri).scheme:
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    """A pyarrow filesystem and the path in it; usable in Python workers. Paths come from `new_dir` or `qualified`."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A top-level column by its name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def only(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*map(column, names))
 
 
 def batched(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of 10,000 long documents would not fit beside others in a worker."""
+    """Small Arrow batches: a batch of 10,000 long documents would not fit beside others in a worker.
+
+    The setting is the session's; one that differs from Spark's own default is the user's and stays.
+    """
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for a function of one batch."""
     batched(df.sparkSession)
 
@@ -83,15 +126,23 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, fn: Callable[[list[pa.Array]], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+    """mapInArrow over the columns of a batch, for tables with columns of any name: on the way they have plain ones."""
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    names = [f"_{i}" for i in range(len(fields))]
+    out = map_arrow(plain, lambda b: pa.RecordBatch.from_arrays(fn(b.columns), names=names), T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields)]))
+    return out.toDF(*(f.name for f in fields))
+
+
 def skew_lookup(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
     """Join left with right, which has one row per key and the number of left rows with it in `count`.
 
     Keys with over 1/HOT_KEYS of all rows number at most HOT_KEYS: their right rows are broadcast (a proven bound),
-    so the rows of a hot key stay where they are. All other keys shuffle, each at most 1/HOT_KEYS of the rows.
-    Null keys match nothing. `count` is dropped.
+    so the rows of a hot key stay where they are. All other keys shuffle, each at most 1/HOT_KEYS of the rows, or MIN_HOT
+    rows. Null keys match nothing. `count` is dropped.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
-    bound = max(1, total // HOT_KEYS)
+    bound = max(MIN_HOT, int(total) // HOT_KEYS)
     hot = right.where(F.col(count) > bound)
     if not hot.head(1):
         return left.join(right.drop(count), key, how)
