@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import cut, skew_lookup, table, text_or_empty
+from .work import column, cut, fresh, only, skew_lookup, table
 
 HASH_BITS = 60
 #: Bits of the hash settled in a round; five rounds settle all.
@@ -40,37 +40,43 @@ def doc_hash(key: Column) -> Column:
 
 
 def targets(totals: DataFrame, cap: int = CAP) -> DataFrame:
-    """_src, _total and num/den (target = num/den words) of each source from (_src, _total, _rows).
+    """_src, _total, _rows and _num/_den (target = _num/_den words) of each source from (_src, _total, _rows).
 
     Weights run 1, 2, 3 over the sources by code point, null last. A target stops at cap times the source's size and
-    the excess is shared again by weight. With sources in order of cap*size/weight the first ones are capped; the
-    level of the others follows from integer sums, so there is no iteration and no rounding before the one division.
-    The windows run over one row per source.
+    the excess is shared again by weight: sources that reach their cap at the common level are fixed there, and what is
+    left makes the level of the others, until none is above. The sums are integers, without rounding before the one
+    division. Sources may be as many as domains are: their places come from a range partitioning, the level from sums.
     """
+    spark = totals.sparkSession
+    part = cut(totals.repartitionByRange("_src").withColumn("_part", F.spark_partition_id()), "mix-sources")
+    before, parts = 0, []
+    for r in part.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row a partition
+        parts.append((r[0], before))
+        before += r[1]
+    starts = spark.createDataFrame(parts, "_part int, _start long")
     # decimals: the products below outgrow 64 bits with many words and many sources
-    w = totals.withColumn("_w", ((F.row_number().over(Window.orderBy("_src")) - 1) % 3 + 1).cast("decimal(38,0)"))
-    order = Window.orderBy((F.lit(cap) * F.col("_total")).cast("double") / F.col("_w").cast("double"), "_src")
-    everything = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumns(
-        {
-            "_all": F.sum("_total").over(everything),
-            "_allw": F.sum("_w").over(everything),
-            "_capped": F.coalesce(F.sum(F.lit(cap) * F.col("_total")).over(before), F.lit(0)),
-            "_cappedw": F.coalesce(F.sum("_w").over(before), F.lit(0)),
-        }
-    )
-    # capped, if the level with all before it capped would lift it above its cap
-    w = w.withColumns({"_num": F.col("_all") - F.col("_capped"), "_den": F.col("_allw") - F.col("_cappedw")})
-    w = w.withColumn("_over", (F.col("_num") * F.col("_w") >= F.lit(cap) * F.col("_total") * F.col("_den")))
-    level = F.max(F.when(~F.col("_over"), F.struct("_den", "_num"))).over(everything)
-    w = w.withColumn("_level", level)
+    dec = "decimal(38,0)"
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy("_src")) - 1
+    w = part.join(F.broadcast(starts), "_part").select("_src", "_total", "_rows", (place % 3 + 1).cast(dec).alias("_w"))
+    w = cut(w, "mix-weights", part)
+    everything = [F.sum("_total").cast(dec), F.sum("_w").cast(dec)]
+    num, den = w.agg(*everything).first()
+    all_num, all_den, capped = num or 0, den or 0, F.lit(False)
+    top = F.lit(cap) * F.col("_total")
+    num, den = all_num, all_den
+    while den:
+        capped = F.lit(int(num)).cast(dec) * F.col("_w") >= top.cast(dec) * F.lit(int(den)).cast(dec)
+        over, weight = w.where(capped).agg(F.sum(top).cast(dec), F.sum("_w").cast(dec)).first()
+        now = all_num - (over or 0), all_den - (weight or 0)
+        if now == (num, den):
+            break
+        num, den = now
     return w.select(
         "_src",
         "_total",
         "_rows",
-        F.when(F.col("_over"), F.lit(cap) * F.col("_total")).otherwise(F.col("_level._num") * F.col("_w")).alias("_num"),
-        F.when(F.col("_over"), F.lit(1).cast("decimal(38,0)")).otherwise(F.col("_level._den")).alias("_den"),
+        F.when(capped, top.cast(dec)).otherwise(F.lit(int(num)).cast(dec) * F.col("_w")).alias("_num"),
+        F.when(capped, F.lit(1)).otherwise(F.lit(int(den or 1))).cast(dec).alias("_den"),
     )
 
 
@@ -142,13 +148,19 @@ def plan(sized: DataFrame) -> DataFrame:
                 .alias("_below"),
             ),
             "mix-state",
+            state,
         )
     return state.select("_src", "_total", "_rows", "_target", "_times", "_below")
 
 
+def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    words = word_count(F.coalesce(column(text).cast("string"), F.lit("")))
+    return docs.select(column(key).alias("_key"), source_key(column(source)).alias("_src"), words.alias("_size"), doc_hash(column(key)).alias("_h"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, size, source_size, target, taken) for each row of docs."""
-    sized = cut(docs.select(F.col(key).alias("_key"), source_key(F.col(source)).alias("_src"), word_count(text_or_empty(text)).alias("_size"), doc_hash(F.col(key)).alias("_h")), "mix-sizes")
+    sized = cut(_sized(docs, key, text, source), "mix-sizes")
     p = plan(sized)
     j = skew_lookup(sized, p, "_src", "_rows", "inner")
     copies = F.col("_times") + F.when(F.col("_h") < F.col("_below"), 1).otherwise(0)
@@ -157,12 +169,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs in the mixture: each row as many times as it is taken; the thresholds alone join, not the decisions."""
-    sized = docs.select(source_key(F.col(source)).alias("_src"), word_count(text_or_empty(text)).alias("_size"), doc_hash(F.col(key)).alias("_h"))
-    p = plan(cut(sized, "mix-sizes")).select("_src", "_rows", "_times", "_below")
-    names = docs.columns
-    j = skew_lookup(docs.withColumns({"_mh": doc_hash(F.col(key)), "_src": source_key(F.col(source))}), p, "_src", "_rows", "inner")
-    copies = (F.col("_times") + F.when(F.col("_mh") < F.col("_below"), 1).otherwise(0)).cast("int")
-    return j.withColumn("_n", F.explode(F.array_repeat(F.lit(1), copies))).select(*names)
+    sized = _sized(docs, key, text, source).drop("_key")
+    sized = cut(sized, "mix-sizes")
+    src, h, rows, times, below, n = (fresh(docs, x) for x in ("_src", "_mh", "_rows", "_times", "_below", "_n"))
+    p = plan(sized).select(F.col("_src").alias(src), F.col("_rows").alias(rows), F.col("_times").alias(times), F.col("_below").alias(below))
+    j = skew_lookup(docs.withColumns({h: doc_hash(column(key)), src: source_key(column(source))}), p, src, rows, "inner")
+    copies = (F.col(times) + F.when(F.col(h) < F.col(below), 1).otherwise(0)).cast("int")
+    return only(j.withColumn(n, F.explode(F.array_repeat(F.lit(1), copies))), docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
