@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .public_vocab import word_ids
-from .work import batched, table
+from .work import batched, column, table
 
 CAPACITY = 2048
 #: A rest stays whole if at most this part of its slot would stay empty.
@@ -48,43 +48,50 @@ def split_lengths(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]
     return out
 
 
+Piece = tuple[object, int, int, bytes]
+
+
 class Packer:
-    """Bins of one worker. put() and end() yield (sequence, [(document, start, length, offset)])."""
+    """Bins of one worker. put() and end() yield (sequence, [(document, start, length, offset, ids)]).
+
+    An open bin holds its pieces' own ids, not their documents', so a worker's memory is that of its open bins: at most
+    one sequence in each class, of which there are under 2 * SMALL * SLACK.
+    """
 
     def __init__(self, base: int, capacity: int = CAPACITY) -> None:
         self.capacity, self.next = capacity, base
-        self.open: dict[tuple[int, int], list[tuple[object, int, int]]] = {}
+        self.open: dict[tuple[int, int], list[Piece]] = {}
 
-    def _emit(self, pieces: list[tuple[object, int, int]]) -> tuple[int, list[tuple[object, int, int, int]]]:
+    def _emit(self, pieces: list[Piece]) -> tuple[int, list[tuple[object, int, int, int, bytes]]]:
         out, at = [], 0
-        for doc, start, n in pieces:
-            out.append((doc, start, n, at))
+        for doc, start, n, ids in pieces:
+            out.append((doc, start, n, at, ids))
             at += n
         self.next += 1
         return self.next - 1, out
 
-    def put(self, doc: object, length: int) -> Iterator[tuple[int, list[tuple[object, int, int, int]]]]:
+    def put(self, doc: object, length: int, ids: bytes = b"") -> Iterator[tuple[int, list[tuple[object, int, int, int, bytes]]]]:
         start = 0
         for k, n in split_lengths(length, self.capacity):
             # short rests share bins with their own length only, so that k of them fill a bin
             bins = self.open.setdefault((k, n if n <= SMALL else 0), [])
-            bins.append((doc, start, n))
+            bins.append((doc, start, n, ids[4 * start : 4 * (start + n)]))
             start += n
             if len(bins) == k:
                 yield self._emit(bins)
                 del self.open[k, n if n <= SMALL else 0]
 
-    def end(self) -> Iterator[tuple[int, list[tuple[object, int, int, int]]]]:
+    def end(self) -> Iterator[tuple[int, list[tuple[object, int, int, int, bytes]]]]:
         rest = [p for key in sorted(self.open) for p in self.open[key]]
         self.open = {}
-        left = sum(n for _, _, n in rest)
+        left = sum(n for _, _, n, _ in rest)
         room = self.capacity if left >= self.capacity else _power(left)
-        row: list[tuple[object, int, int]] = []
-        for doc, start, n in rest:
+        row: list[Piece] = []
+        for doc, start, n, ids in rest:
             while n:
                 cut = min(n, room)
-                row.append((doc, start, cut))
-                start, n, room, left = start + cut, n - cut, room - cut, left - cut
+                row.append((doc, start, cut, ids[: 4 * cut]))
+                start, n, room, left, ids = start + cut, n - cut, room - cut, left - cut, ids[4 * cut :]
                 if not room:
                     yield self._emit(row)
                     row = []
@@ -112,9 +119,8 @@ def pack(docs: DataFrame, encode: Callable[[str], bytes], key: str = "doc_id", t
 
         def take(full: Iterator) -> None:
             for seq, pieces in full:
-                for (name, buf), start, n, at in pieces:
-                    part = buf[4 * start : 4 * (start + n)]
-                    rows.append((name, start, n, zlib.crc32(part), len(buf) // 4, seq, at, part))
+                for (name, total), start, n, at, part in pieces:
+                    rows.append((name, start, n, zlib.crc32(part), total, seq, at, part))
 
         def batch(key_type: pa.DataType) -> pa.RecordBatch:
             cols = list(zip(*rows)) if rows else [[]] * 8
@@ -134,7 +140,7 @@ def pack(docs: DataFrame, encode: Callable[[str], bytes], key: str = "doc_id", t
             key_type = b.column(0).type
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 buf = (encode(t) if t else b"") + end
-                take(packer.put((name, buf), len(buf) // 4))
+                take(packer.put((name, len(buf) // 4), len(buf) // 4, buf))
                 if len(rows) >= 2000:
                     yield batch(key_type)
         take(packer.end())
@@ -142,7 +148,7 @@ def pack(docs: DataFrame, encode: Callable[[str], bytes], key: str = "doc_id", t
             yield batch(key_type)
 
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if ids else "")
-    return docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(column(key), column(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def vocabulary(name: str) -> str:

@@ -2,6 +2,7 @@
 
 A text is cut where the tokenizer itself always cuts, and the ids of each distinct piece are kept as little-endian
 32-bit bytes, so a text's ids are a join of cached pieces. The cache is bounded and lives as long as the worker.
+A text that holds a string of the vocabulary's added tokens (`<|endoftext|>`) goes to the library whole, which finds them.
 A new piece of Latin letters alone, with or without a leading blank, is one word to the tokenizer's pre-tokenizer, so
 it goes to the library's merge model directly; any other piece goes through the whole tokenizer.
 The vocabulary file's path is a parameter; in the queries it comes from the installed `public_tokenizers`.
@@ -39,7 +40,7 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         self.fold = fold
         self.most = CACHE if fold else 2 * CACHE  # pieces with and without their blank are two
@@ -94,9 +95,12 @@ _CUTS = re.compile(r"(?<=\S)(?= )|(?=\n)|(?<=\n)")
 
 def word_ids(text: str, path: str) -> bytes:
     """Ids under a lower-casing vocabulary that drops white space and never crosses it (`word_bpe_49k.json`)."""
+    pieces = load(path, True)
+    if any(t in text for t in pieces.added):
+        return pieces.encode(text)
     if any(c in text for c in _ODD):
-        return load(path, True).joined([p for p in _ASCII_SPACE.split(text) if p])
-    return load(path, True).joined(text.split())
+        return pieces.joined([p for p in _ASCII_SPACE.split(text) if p])
+    return pieces.joined(text.split())
 
 
 def byte_ids(text: str, path: str) -> bytes:
@@ -106,7 +110,7 @@ def byte_ids(text: str, path: str) -> bytes:
     between the tokenizer's own words. Any other text is encoded whole.
     """
     pieces = load(path, False)
-    if _SPACES.search(text):
+    if _SPACES.search(text) or any(t in text for t in pieces.added):
         return pieces.encode(text)
     if "\x00" in text:
         return pieces.joined([p for p in _CUTS.split(text) if p])
