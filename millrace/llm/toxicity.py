@@ -5,10 +5,12 @@ out, over the whole text, folded to DIMS coordinates. Training follows the FTRL-
 per coordinate and an L1 term, which leaves most weights at zero: the model is a list of at most DIMS (index, weight)
 pairs, so what scoring broadcasts is bounded by DIMS whatever the corpus.
 
-Training reads at most `max_rows` labelled documents (lowest hash of doc_id first), a documented bound. Scoring reads
-every document whole, one pass without a shuffle.
+Training reads at most `max_rows` labelled documents (lowest hash of doc_id first), and of these as many as have up to
+`max_features` coordinates together: two documented bounds of the one task that learns. Scoring reads every document
+whole, one pass without a shuffle.
 
-Defined cases: a null or empty text has no feature and gets the score of the bias alone; repeated rows get equal scores;
+Defined cases: a null or empty text has no feature and gets the score of the bias alone; repeated rows get equal scores
+and are learnt from once, before the shuffle (of several texts with one id, from that with the least coordinates by order);
 labels that are null or whose document is absent are ignored, a doc_id labelled both ways counts as toxic; with no labels
 at all the score is 0; extra columns, whatever their names, do not take part. A null doc_id is scored and never held out.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .work import batched, map_arrow, table
+from .work import batched, map_arrow, map_columns, table
 
 BITS = 20
 DIMS = 1 << BITS
@@ -60,24 +62,31 @@ class Ftrl:
         self.z = np.zeros(DIMS + 1)
         self.n = np.zeros(DIMS + 1)
 
+    def _solve(self, z: np.ndarray, root: np.ndarray, l1: float | np.ndarray) -> np.ndarray:
+        return (np.clip(z, -l1, l1) - z) / ((self.beta + root) / self.alpha + self.l2)
+
     def weights(self, at: np.ndarray) -> np.ndarray:
-        z = self.z[at]
-        shrunk = np.sign(z) * np.maximum(np.abs(z) - np.where(at == DIMS, 0.0, self.l1), 0.0)
-        return -shrunk / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
+        return self._solve(self.z[at], np.sqrt(self.n[at]), np.where(at == DIMS, 0.0, self.l1))
 
     def learn(self, at: np.ndarray, y: int) -> None:
-        w = self.weights(at)
-        g = sigmoid(float(w.sum())) - y
-        n = self.n[at]
-        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        """One row; `at` are its coordinates without the bias."""
+        z, n = self.z[at], self.n[at]
+        root = np.sqrt(n)
+        w = self._solve(z, root, self.l1)
+        zb, nb = self.z[DIMS], self.n[DIMS]
+        wb = self._solve(zb, nb**0.5, 0.0)
+        g = sigmoid(float(w.sum() + wb)) - y
+        self.z[at] = z + g - (np.sqrt(n + g * g) - root) / self.alpha * w
         self.n[at] = n + g * g
+        self.z[DIMS] = zb + g - ((nb + g * g) ** 0.5 - nb**0.5) / self.alpha * wb
+        self.n[DIMS] = nb + g * g
 
 
 def sigmoid(x: float) -> float:
     return 1.0 / (1.0 + math.exp(-x)) if x >= 0 else (e := math.exp(x)) / (1.0 + e)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 25_000, epochs: int = 5, held_out_mod: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 25_000, max_features: int = 1 << 26, epochs: int = 5, held_out_mod: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """Sparse weights (indices, values, bias) learnt from labelled rows whose crc32(doc_id) mod held_out_mod is not 0."""
     chosen = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("y"))
@@ -102,11 +111,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 25_000, epochs: in
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[np.ndarray, int]] = []
+        left = max_features
         for b in batches:
             at = b.column(2)
             flat, offs = np.asarray(at.values), np.asarray(at.offsets)
             for k, y in enumerate(b.column(1).to_pylist()):
-                seen.append((np.append(flat[offs[k] : offs[k + 1]], np.int32(DIMS)), y))
+                left -= int(offs[k + 1] - offs[k])
+                if left >= 0:
+                    seen.append((flat[offs[k] : offs[k + 1]].copy(), y))
         if not seen:
             return
         model = Ftrl()
@@ -119,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 25_000, epochs: in
 
     batched(docs.sparkSession)
     sample = map_arrow(rows.select("doc_id", "text", "y"), featurise, "doc_id long, y int, at array<int>")
-    got = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "at").mapInArrow(fit, "at array<int>, w array<double>, bias double").collect()
+    # one row an id: repeated rows are combined where they are, so what the one task reads has a bound
+    sample = sample.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("at").alias("at"))
+    got = sample.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "at").mapInArrow(fit, "at array<int>, w array<double>, bias double").collect()
     if not got:
         return np.zeros(0, np.int32), np.zeros(0), -math.inf
     return np.array(got[0]["at"], np.int32), np.array(got[0]["w"]), got[0]["bias"]
@@ -141,20 +155,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # at most DIMS pairs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if into in docs.columns:
+        raise ValueError(f"docs has a column {into} already")
+    text_at = docs.columns.index(text)
+
+    def run(columns: list[pa.Array]) -> list[pa.Array]:
         at, w, bias = sent.value
         dense = np.zeros(DIMS)
         dense[at] = w
-        for b in batches:
-            if b.num_rows:
-                s = score_arrays(b.column(text_at), dense, bias)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=names)
+        return [*columns, pa.array(score_arrays(columns[text_at], dense, bias))]
 
-    batched(spark)
-    text_at = docs.columns.index(text)
-    names = [*docs.columns, into]
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return map_columns(docs, run, [*docs.schema.fields, T.StructField(into, T.DoubleType())])
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
