@@ -4,10 +4,12 @@ Records are written as WARC/1.1, one gzip member each, by every task on its own
 captures with equal payloads (of at least `least` bytes) that with the largest id is the response; the others are
 revisit records, which hold the HTTP head alone and name the response.
 
-Index: captures are range-partitioned by reversed-host key and sorted; each part is a file of compressed blocks of
+Index: captures are range-partitioned by reversed-host key and id and sorted; each part is a file of compressed blocks of
 BLOCK_LINES lines, then its block directory (first key and place of each block), then a footer. A second, still
-sparser level is the list of parts with their first keys. A lookup searches the parts, reads one directory, searches
-it, reads one block, searches that, and range-reads the record.
+sparser level is the list of parts with their first keys; parts are at most as many as shuffle partitions, so it may be
+sent to tasks. A lookup searches the parts, reads one directory, searches it, reads one block, searches that, and
+range-reads the record. `locate` does so for a table of keys: they are sorted into the parts, so that a task has one
+directory and one block at a time; `fetch` then reads the records by file and place, READ_BYTES of them a task.
 
 Every file's name is unique to the attempt that wrote it, and only files named in a manifest that Spark committed
 are read, so a lost executor's half-written files never count. Groups of equal payloads are settled on digests, and the
@@ -29,6 +31,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -36,9 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import batched, cut, filesystem, new_dir, skew_lookup, table
+from .work import batched, cut, filesystem, new_dir, qualified, skew_lookup, table
 
 FILE_BYTES = 64 << 20
+#: Bytes of records that a task reads.
+READ_BYTES = 32 << 20
 BLOCK_LINES = 256
 _FOOT = "<8sQQ"
 _MAGIC = b"MRCDX001"
@@ -137,7 +142,7 @@ def write(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFram
     """Write archives; the captures: (surt, page_id, path, offset, length)."""
     spark = pages.sparkSession
     batched(spark)
-    root = path or new_dir(spark, "warc")
+    root = qualified(spark, path) if path else new_dir(spark, "warc")
     names = ["surt", "page_id", "path", "offset", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +173,19 @@ def _line(row: tuple) -> bytes:
     return json.dumps(row, separators=(",", ":")).encode()
 
 
+Key = tuple[str, bool, int]
+
+
+def _key(surt: str, page_id: int | None) -> Key:
+    """The place of a capture in the index: null ids come first, as Spark sorts them."""
+    return surt, page_id is not None, page_id or 0
+
+
 def build_index(captures: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the index of captures; its upper level: (part, first, path, blocks), one row per part."""
+    """Write the index of captures; its upper level: (part, first, first_id, path, blocks), one row per part."""
     spark = captures.sparkSession
     batched(spark)
-    root = path or new_dir(spark, "warc-index")
+    root = qualified(spark, path) if path else new_dir(spark, "warc-index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(root)
@@ -184,7 +197,7 @@ def build_index(captures: DataFrame, path: str | None = None) -> DataFrame:
         def flush() -> None:
             nonlocal at
             data = zlib.compress(b"\n".join(_line(r) for r in block), 6)
-            directory.append((block[0][0], at, len(data)))
+            directory.append((*block[0][:2], at, len(data)))
             out.write(data)
             at += len(data)
             block.clear()
@@ -202,10 +215,10 @@ def build_index(captures: DataFrame, path: str | None = None) -> DataFrame:
         data = zlib.compress(b"\n".join(_line(r) for r in directory), 6)
         out.write(data + struct.pack(_FOOT, _MAGIC, at, len(data)))
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([directory[0][0]]), pa.array([f"{root}/{name}"]), pa.array([len(directory)], pa.int64())], names=["part", "first", "path", "blocks"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([directory[0][0]]), pa.array([directory[0][1]], pa.int64()), pa.array([f"{root}/{name}"]), pa.array([len(directory)], pa.int64())], names=["part", "first", "first_id", "path", "blocks"])
 
-    ranged = captures.select("surt", "page_id", "path", "offset", "length").repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id", "path", "offset")
-    return cut(ranged.mapInArrow(run, "part long, first string, path string, blocks long"), "warc-parts")
+    ranged = captures.select("surt", "page_id", "path", "offset", "length").repartitionByRange("surt", "page_id", "path", "offset").sortWithinPartitions("surt", "page_id", "path", "offset")
+    return cut(ranged.mapInArrow(run, "part long, first string, first_id long, path string, blocks long"), "warc-parts")
 
 
 def _read_at(path: str, at: int, n: int) -> bytes:
@@ -214,51 +227,90 @@ def _read_at(path: str, at: int, n: int) -> bytes:
         return f.read_at(n, at)
 
 
-def directory(path: str) -> list[list]:
-    """[first key, place, size] of each block of an index part."""
+def directory(path: str) -> tuple[list[Key], list[tuple[int, int]]]:
+    """The first key of each block of an index part, and its place and size."""
     fs, name = filesystem(path)
     with fs.open_input_file(name) as f:
         size = f.size()
         magic, at, n = struct.unpack(_FOOT, f.read_at(struct.calcsize(_FOOT), size - struct.calcsize(_FOOT)))
         if magic != _MAGIC:
             raise ValueError("not an index part")
-        return [json.loads(x) for x in zlib.decompress(f.read_at(n, at)).split(b"\n")]
+        rows = [json.loads(x) for x in zlib.decompress(f.read_at(n, at)).split(b"\n")]
+    return [_key(*r[:2]) for r in rows], [(r[2], r[3]) for r in rows]
+
 
+def block(path: str, at: int, n: int) -> tuple[list[Key], list[tuple[str, int, int]]]:
+    """The keys of a block's lines, and the file, place and size of each line's record."""
+    rows = [json.loads(x) for x in zlib.decompress(_read_at(path, at, n)).split(b"\n")]
+    return [_key(*r[:2]) for r in rows], [tuple(r[2:]) for r in rows]
 
-def block(path: str, at: int, n: int) -> list[list]:
-    return [json.loads(x) for x in zlib.decompress(_read_at(path, at, n)).split(b"\n")]
 
+class Index:
+    """The parts of an index, searched from the top: parts, then a part's directory, then a block. The last of each is kept."""
 
-def lookup(parts: list[tuple[str, str]], url: str | None) -> list[dict]:
-    """The records of all captures of a url; parts are the (first key, path) of the index in order."""
-    key, found = surt(url), []
-    # captures of one key may cross blocks and parts: start one before the first that isn't smaller
-    i = max(0, bisect.bisect_left([p[0] for p in parts], key) - 1)
-    for first, path in parts[i:]:
-        if first > key:
-            break
-        d = directory(path)
-        j = max(0, bisect.bisect_left([x[0] for x in d], key) - 1)
-        for start, at, n in d[j:]:
-            if start > key:
+    def __init__(self, parts: list[tuple[str, int | None, str]]) -> None:
+        """parts: (first key, first id, path) in order."""
+        self.first, self.paths = [_key(*p[:2]) for p in parts], [p[2] for p in parts]
+        self.part, self.at = None, None
+
+    def part_of(self, key: Key) -> int:
+        """The first part that may hold a key: captures of one key may go on in the next one."""
+        return max(0, bisect.bisect_left(self.first, key) - 1)
+
+    def find(self, low: Key, high: Key) -> Iterator[tuple[str, int, int]]:
+        """The records of all captures from one key to another, both included."""
+        for i in range(self.part_of(low), len(self.first)):
+            if self.first[i] > high:
                 break
-            lines = block(path, at, n)
-            keys = [x[0] for x in lines]
-            for _, _, warc, offset, length in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                found.append(parse(_read_at(warc, offset, length)))
-    return found
+            if self.part != i:
+                self.part, self.at, self.dir = i, None, directory(self.paths[i])
+            keys, places = self.dir
+            for j in range(max(0, bisect.bisect_left(keys, low) - 1), len(keys)):
+                if keys[j] > high:
+                    break
+                if self.at != j:
+                    self.at, self.lines = j, block(self.paths[i], *places[j])
+                names, records = self.lines
+                yield from records[bisect.bisect_left(names, low) : bisect.bisect_right(names, high)]
+
+
+def tops(parts: DataFrame) -> list[tuple[str, int | None, str]]:
+    """The upper level of an index: a row per part, of which there are no more than shuffle partitions."""
+    return [tuple(r) for r in parts.orderBy("part").select("first", "first_id", "path").collect()]
 
 
-def read(parts: DataFrame) -> DataFrame:
-    """Every capture in the index, read back from its archive by range."""
-    batched(parts.sparkSession)
+def lookup(index: Index, url: str | None) -> list[dict]:
+    """The records of all captures of a url."""
+    key = surt(url)
+    return [parse(_read_at(*r)) for r in index.find((key, False, 0), (key, True, (1 << 63) - 1))]
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def locate(keys: DataFrame, parts: DataFrame) -> DataFrame:
+    """(path, offset, length) of the captures of each distinct (surt, page_id) in keys, by search in the index."""
+    spark = keys.sparkSession
+    batched(spark)
+    sent = spark.sparkContext.broadcast(tops(parts))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(sent.value)
+        for b in batches:
+            at = [index.part_of(_key(s, i)) for s, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=["surt", "page_id", "part"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(sent.value)
         for b in batches:
-            for path in b.column(0).to_pylist():
-                for _, at, n in directory(path):
-                    lines = block(path, at, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in lines]), pa.array([x[3] for x in lines], pa.int64()), pa.array([x[4] for x in lines], pa.int64())], names=["path", "offset", "length"])
+            found = (r for s, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in index.find(_key(s, i), _key(s, i)))
+            while rows := list(islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["path", "offset", "length"])
+
+    asked = keys.select("surt", "page_id").distinct().mapInArrow(assign, "surt string, page_id long, part long")
+    return asked.repartition(max(1, len(sent.value)), "part").sortWithinPartitions("part", "surt", "page_id").mapInArrow(search, "path string, offset long, length long")
+
+
+def fetch(places: DataFrame) -> DataFrame:
+    """The records at (path, offset, length), parsed and checked: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    batched(places.sparkSession)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, f = None, None
@@ -274,13 +326,17 @@ def read(parts: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    places = parts.select("path").repartition(max(1, parts.count()), "path").mapInArrow(entries, "path string, offset long, length long")
-    return places.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    places = cut(places, "warc-places")
+    spark, size = places.sparkSession, places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(spark.sparkContext.defaultParallelism, size // READ_BYTES + 1)
+    stretch = F.floor(F.col("offset") / READ_BYTES)  # a file is read in stretches, so that its size bounds no task
+    return places.repartition(n, "path", stretch).sortWithinPartitions("path", "offset").mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
+    """Writes the archives and their index, then looks every capture up in the index and reads its record."""
     captures = write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return read(build_index(captures))
+    return fetch(locate(captures, build_index(captures)))
 
 
 OP5_SQL = """
