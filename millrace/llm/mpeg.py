@@ -1,8 +1,10 @@
 """MPEG audio as media columns: frames found and checked, tags and variable-bitrate tables parsed, exact durations and seek offsets.
 
 `parse` takes any bytes: it reads an ID3v2 tag, walks MPEG-1/2/2.5 Layer I-III frames, looks for the next frame whose
-successor is in place too when a header is damaged, verifies the CRC-16 of protected Layer III frames, reads the
-Xing/Info table and an ID3v1 tag. Durations are sample counts over a rate, so they are exact.
+successor is in place too when a header is damaged, verifies the CRC-16 of protected frames (over the side information in
+Layer III, the bit allocation in Layer I, allocation and scale factor selection in Layer II), reads the Xing/Info or
+VBRI table, whose frame is no audio, and an ID3v1 tag. Durations are sample counts over a rate, so they are exact. The
+places of the audio frames are the seek offsets.
 
 `store` is the lossless carrier that the query uses: Layer III frames at 48 kHz (so that a frame is 3 bytes per kbit/s)
 with empty granules, whose main data area is ancillary data by the standard and carries the payload. Full frames have
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .work import cut, map_arrow, table
+from .work import cut, map_arrow, map_columns, table
 
 #: kbit/s by (MPEG-1?, layer); index 0 is free format, 15 is forbidden.
 RATES = {
@@ -74,6 +77,47 @@ def crc16(data: bytes) -> int:
     return x
 
 
+def _crc_bits(data: bytes, bits: int, x: int) -> int:
+    """The CRC carried on over the first bits of data."""
+    for i in range(bits):
+        x = (x << 1 ^ 0x8005 if (x >> 15) ^ (data[i >> 3] >> (7 - (i & 7)) & 1) else x << 1) & 0xFFFF
+    return x
+
+
+#: Bits of allocation of a Layer II subband, in runs: for two tables of many subbands, the two of few, and low sampling rates.
+_ALLOCATION = {27: [4] * 11 + [3] * 12 + [2] * 4, 30: [4] * 11 + [3] * 12 + [2] * 7, 8: [4, 4] + [3] * 6, 12: [4, 4] + [3] * 10, 0: [4] * 4 + [3] * 7 + [2] * 19}
+
+
+def _guarded_bits(data: bytes, x: int, layer: int, hertz: int) -> int:
+    """How many bits after the CRC of a Layer I or II frame with header x are covered; data begins there."""
+    one, mode = x >> 19 & 3 == 3, x >> 6 & 3
+    channels = 1 if mode == 3 else 2
+    if layer == 1:
+        bound = 4 * (x >> 4 & 3) + 4 if mode == 1 else 32
+        return 4 * (channels * bound + 32 - bound)
+    kbps = RATES[one, 2][x >> 12 & 15] // channels
+    limit = 0 if not one else 27 if kbps >= 56 and (hertz == 48000 or kbps <= 80) else 30 if kbps >= 96 else 12 if hertz == 32000 else 8
+    widths = _ALLOCATION[limit]
+    bound = min(4 * (x >> 4 & 3) + 4 if mode == 1 else 32, len(widths))
+    word, at, chosen = int.from_bytes(data[:64], "big") << 8 * max(0, 64 - len(data)), 0, 0
+    for sb, width in enumerate(widths):
+        for _ in range(channels if sb < bound else 1):
+            if word >> (512 - at - width) & ((1 << width) - 1):
+                chosen += 1 if sb < bound else channels
+            at += width
+    return at + 2 * chosen
+
+
+def intact(frame: bytes, layer: int, hertz: int, side: int) -> bool:
+    """Whether a protected frame's CRC holds."""
+    said = int.from_bytes(frame[4:6], "big")
+    if layer == 3:
+        return crc16(frame[2:4] + frame[6 : 6 + side]) == said
+    body = frame[6:]
+    bits = _guarded_bits(body, int.from_bytes(frame[:4], "big"), layer, hertz)
+    return bits <= 8 * len(body) and _crc_bits(body, bits, crc16(frame[2:4])) == said
+
+
 def id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     """The size of the tag at the start (0: none) and its text fields; TXXX fields by their description."""
     if data[:3] != b"ID3" or len(data) < 10 or any(b > 127 for b in data[6:10]):
@@ -124,12 +168,12 @@ def parse(data: bytes) -> dict:
         mark = data[main : main + 4] if not places and xing is None else b""
         if mark in (b"Xing", b"Info"):
             xing = _table(data, main)
+        elif not places and xing is None and data[at + 36 : at + 40] == b"VBRI" and layer == 3:
+            xing = _vbri(data[at + 36 : at + size])
         else:
-            if protected and layer == 3:
-                if crc16(data[at + 2 : at + 4] + data[at + 6 : main]) == int.from_bytes(data[at + 4 : at + 6], "big"):
-                    good += 1
-                else:
-                    bad += 1
+            if protected:
+                ok = intact(data[at : at + size], layer, rate, side)
+                good, bad = good + ok, bad + (not ok)
             places.append(at)
             bodies.append((main, at + size))
             samples += n
@@ -151,6 +195,15 @@ def _table(data: bytes, at: int) -> dict:
     return out
 
 
+def _vbri(data: bytes) -> dict:
+    """A VBRI header: its table gives the bytes of each stretch of frames."""
+    if len(data) < 26:
+        return {}
+    size, frames, n, scale, width, each = struct.unpack(">IIHHHH", data[10:26])
+    steps = [int.from_bytes(data[26 + width * i : 26 + width * (i + 1)], "big") * scale for i in range(n)]
+    return {"frames": frames, "bytes": size, "stretch": each, "steps": steps}
+
+
 _MONO48 = {kbps: b"\xff\xfa" + bytes([i << 4 | 1 << 2, 0xC0]) for i, kbps in enumerate(RATES[True, 3]) if i}
 _SIDE = bytes(17)
 _HEADS = {kbps: h + crc16(h[2:] + _SIDE).to_bytes(2, "big") + _SIDE for kbps, h in _MONO48.items()}
@@ -207,8 +260,7 @@ INFO = "n_frames long, samples long, hertz int, duration_s double, resyncs long,
 
 def describe(docs: DataFrame, media: str = "media", every: int = 1) -> DataFrame:
     """docs with an `info` struct for the media column: exact duration, checks, tags, table and every n-th frame's place."""
-    names = docs.columns
-    at = names.index(media)
+    at = docs.columns.index(media)
 
     def one(data: bytes | None) -> dict:
         p = parse(data or b"")
@@ -235,30 +287,27 @@ def describe(docs: DataFrame, media: str = "media", every: int = 1) -> DataFrame
         + [("tags", pa.map_(pa.string(), pa.string())), ("seek", pa.list_(pa.int64()))]
     )
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array([one(x) for x in b.column(at).to_pylist()], kind)], names=[*names, "info"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs, run, f"{fields}, info struct<{INFO.replace(' ', ':').replace(',:', ',')}>")
+    fields = T.StructType.fromDDL(INFO)
+    return map_columns(docs, lambda columns: [*columns, pa.array([one(x) for x in columns[at].to_pylist()], kind)], [*docs.schema.fields, T.StructField("info", fields)])
 
 
 def op6_mpeg(spark, sf_dir: str) -> DataFrame:
-    """Digests and features of the payloads that the stored media give back."""
+    """Digests, features and frame seek offsets of the payloads that the stored media give back."""
     media = cut(media_table(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
-    kinds = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("samples", pa.int64()), ("duration_s", pa.float64()), ("feature", pa.string())]
+    kinds = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("samples", pa.int64()), ("duration_s", pa.float64()), ("feature", pa.string()), ("seek", pa.string())]
 
     def one(data: bytes) -> tuple:
         p = parse(data)
-        if p["crc_bad"] or p["resyncs"] or p["xing"]["frames"] != len(p["places"]):
+        if p["crc_bad"] or p["resyncs"] or not p["xing"] or p["xing"]["frames"] != len(p["places"]):
             raise ValueError("the stored media are damaged")
         x = payload_of(data, p)
         hist = np.bincount(np.frombuffer(x, np.uint8), minlength=256)
         q = hist[hist > 0] / len(x)
         feature = f"frames={len(p['places'])};samples={p['samples']};hz={p['hertz']};mean={float(hist @ np.arange(256)) / len(x):.6f};entropy={-float(q @ np.log2(q)) + 0.0:.6f};last={p['places'][-1]}"
-        return int(p["tags"]["n_bytes"]), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), len(data), hashlib.sha256(data).hexdigest(), len(p["places"]), p["samples"], p["samples"] / p["hertz"], feature
+        return int(p["tags"]["n_bytes"]), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), len(data), hashlib.sha256(data).hexdigest(), len(p["places"]), p["samples"], p["samples"] / p["hertz"], feature, ",".join(map(str, p["places"]))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = zip(*(one(x) for x in b.column(1).to_pylist()))
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, kinds))], names=["doc_id", *(n for n, _ in kinds)])
 
-    return map_arrow(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, samples long, duration_s double, feature string")
+    return map_arrow(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, samples long, duration_s double, feature string, seek string")
