@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import json
+import math
 import os
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,6 +19,7 @@ import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from conftest import same
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -44,10 +48,13 @@ def _documents() -> pd.DataFrame:
     rows += [(150 + k, rows[2][1], "en", f"src{k % 6}") for k in range(12)]  # a group of copies
     rows += [(170 + k, rows[4][1] + " zz", "en", "src1") for k in range(3)]
     rows += [(180, None, None, None), (181, "", "en", "src2"), (182, " \n\t ", "en", None), (183, "long " * 40_000, "en", "src3"), (184, "é" * 5000, "fr", "src3"), (None, "no id here", "en", "src1")]
+    rows += [(i, f"first {i}\r\n\t said on all sites \r\n\r\nlast {i} <|endoftext|> x\r\n\t\r\n", "en", f"src{i % 6}") for i in range(190, 197)]
+    rows += [(197, "said on all sites", "en", "src9"), (198, "kept <|startoftext|>\n\r\n", "en", "src9")]
     rows += [rows[7], rows[7], (200, "a  b\n\n\x0bc \U0001f600 4111 1111 1111 1111 10.0.0.1", "en", "src4")]
     d = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"])
     d["doc_id"] = d["doc_id"].astype("Int64")
-    return d.assign(n_chars=d["text"].str.len().astype("Int64"), length=1, score="x", _h=2, key="k")
+    clashing = "_d _t _th _gone _pos _row _at _text _key _fp _root _src _n _mh _h _h2 _rows _times _below _score _blank _spans _k _w a.b".split()
+    return d.assign(n_chars=d["text"].str.len().astype("Int64"), length=1, score="x", key="k", **dict.fromkeys(clashing, 2))
 
 
 def _write(root, docs):
@@ -65,7 +72,9 @@ def _write(root, docs):
     vec = [rng.normal(size=6).astype("float32").tolist() for _ in range(230)]
     vec[3], vec[4], vec[5], vec[60] = None, [float("nan")] * 6, [None] * 6, vec[61]
     vec[100][2] = float("inf")
-    pq.write_table(pa.table({"vec_id": pa.array(range(230) if n else [], pa.int64()), "embedding": pa.array(vec if n else [], pa.list_(pa.float32())), "label": pa.array([0] * (230 if n else 0), pa.int32())}), f"{root}/embeddings.parquet")
+    ids = [*range(230), 50, 50, 150, 7, None]  # two more rows of a query's id, one of these its copy; a candidate twice
+    vec += [vec[50], [x + 1 for x in vec[50]], vec[9], vec[7], vec[8]]
+    pq.write_table(pa.table({"vec_id": pa.array(ids if n else [], pa.int64()), "embedding": pa.array(vec if n else [], pa.list_(pa.float32())), "_row": pa.array([0] * (len(ids) if n else 0), pa.int32())}), f"{root}/embeddings.parquet")
 
 
 @pytest.fixture(scope="session")
@@ -122,6 +131,72 @@ def test_toxicity_learns_and_scores_all(spark, hard, texts):
     assert sum(p == bool(t) for p, t in judged) / len(judged) > 0.8 and any(p and t for p, t in judged)
 
 
+def _scores_by_hand(texts, labels):
+    """The query's scores by plain dictionaries: features of one text at a time, FTRL as it is written."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 31)
+
+    def word(w):
+        h = mix(len(w) + 0x9E3779B97F4A7C15 & m64)
+        for i in range(0, len(w), 8):
+            h = mix(h ^ int.from_bytes(w[i : i + 8], "little"))
+        return h
+
+    @lru_cache(None)
+    def coordinates(text):
+        ws = [word(w.encode()) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+        out = {mix(h ^ int(toxicity._SALT[0])) >> 44 for h in ws}
+        for gap in (1, 2, 3):
+            out |= {mix(a * 0x9E3779B97F4A7C15 + mix(b + int(toxicity._SALT[gap]) & m64) & m64) >> 44 for a, b in zip(ws, ws[gap:])}
+        return sorted(out)
+
+    rows = {}
+    for i, t, _ in texts:
+        if i in labels and zlib.crc32(str(i).encode()) % 5:
+            rows[i] = min(rows.get(i, coordinates(t or "")), coordinates(t or ""))
+    z, n = {}, {}
+
+    def weight(i):
+        x, l1 = z.get(i, 0.0), 0.0 if i == "bias" else 4.0
+        return 0.0 if abs(x) <= l1 else (math.copysign(l1, x) - x) / ((1 + math.sqrt(n.get(i, 0.0))) / 4.0 + 0.5)
+
+    learnt = [([*rows[i], "bias"], labels[i]) for i in labels["order"] if i in rows]
+    for epoch in range(5):
+        for k in np.random.default_rng(epoch).permutation(len(learnt)):
+            at, y = learnt[k]
+            ws = [weight(i) for i in at]
+            g = toxicity.sigmoid(sum(ws)) - y
+            for i, w in zip(at, ws):
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / 4.0 * w
+                n[i] = was + g * g
+    return [toxicity.sigmoid(sum(weight(i) for i in coordinates(t or "")) + weight("bias")) for _, t, _ in texts]
+
+
+def test_toxicity_is_the_model_by_hand(spark, hard, texts):
+    labels = {i: int(i % 7 == 0) for i, _, _ in texts if i is not None and i < 150}
+    ids = spark.createDataFrame([(i,) for i in labels], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    want = _scores_by_hand(texts, labels | {"order": [r.doc_id for r in ids]})
+    key = lambda i, x: (-1 if i is None else i, round(x, 9))
+    rows = got(spark, "op1_", hard)
+    for (i, a), (j, b) in zip(sorted(key(r["doc_id"], r["score"]) for r in rows), sorted(key(t[0], x) for t, x in zip(texts, want))):
+        assert i == j and abs(a - b) < 1e-6
+
+
+def test_toxicity_bounds(spark):
+    """Repeated rows count once, and the bound on coordinates keeps the first ids by hash."""
+    docs = spark.createDataFrame([(i, f"{'rude' if i % 2 else 'kind'} {i}") for i in range(60)] + [(1, "rude 1")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.train(docs.distinct(), labels)
+    again = toxicity.train(docs, labels)
+    assert once[0].tolist() == again[0].tolist() and once[1].tolist() == again[1].tolist()
+    assert toxicity.train(docs, labels, max_features=0)[2] == -math.inf
+
+
 def test_toxicity_without_labels(spark, hard):
     docs = spark.read.parquet(f"{hard}/documents.parquet")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -131,6 +206,8 @@ def test_toxicity_without_labels(spark, hard):
 def test_line_dedup_keeps_first(spark):
     docs = spark.createDataFrame([(i, f"only {i}\n  all sites say this \n\nend {i}", f"s{i}") for i in range(6)] + [(9, None, None), (10, "", "x")], "doc_id long, text string, source string")
     out = {r.doc_id: r.text for r in linededup.remove_lines(docs).collect()}
+    rn = spark.createDataFrame([(i, f"only {i}\r\n  all sites say this{chr(13) if i % 2 else ''}\n\r\n\t\r\nend {i}\r\n", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in linededup.remove_lines(rn).collect()}[5] == "only 5\r\n\r\n\t\r\nend 5\r\n"
     assert out[0] == "only 0\n  all sites say this \n\nend 0" and out[5] == "only 5\n\nend 5" and out[9] is None and out[10] == ""
 
 
@@ -143,7 +220,6 @@ def test_spread_estimate_settles_like_exact_counts(spark):
 
 def test_packing_covers_every_id(spark, hard, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = Counter((i, tuple(t.encode(x or "", add_special_tokens=False).ids + [1])) for i, x, _ in texts)
     docs = spark.read.parquet(f"{hard}/documents.parquet")
     rows = packing.pack_words(docs, ids=True).collect()
@@ -167,21 +243,60 @@ def test_packing_covers_every_id(spark, hard, texts):
     assert by(digest, "doc_id", "start", "length", "ids_crc32") == Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows)
 
 
-def test_pii_base_and_terms(spark, hard, texts):
-    rows = got(spark, "op4_", hard)
-    want = Counter()
+def _pii_by_hand(texts):
+    """(doc_id, counts, base digest, spans) of each row by plain patterns and dictionaries over all pairs of entity and term."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(x * (1 + i % 2) - 9 * (x * (1 + i % 2) > 9) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True, str.lower),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split(".")), str),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s)), digits),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15, digits),
+    }
+    base = lambda t: [(k, m.start(), m.end()) for k, (rx, ok, _) in rules.items() for m in re.finditer(rx, t) if ok(m[0])]
+    found = lambda t, of: [(w, a, b) for w, a, b in of if not any(a < e and b > s for _, s, e in base(t))]
+    words = lambda t: [(re.sub("[A-Z]", lambda x: x[0].lower(), m[0]), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", t) if len(m[0].encode()) >= pii.SHORTEST]
+    distinct = {t for _, t, _ in texts if t is not None}
+    of_entity, of_term, of_both = Counter(), Counter(), Counter()
+    for t in distinct:
+        own = {f"{k}:{rules[k][2](t[s:e])}" for k, s, e in base(t)}
+        of_term.update({w for w, _, _ in words(t)})
+        of_entity.update(own)
+        of_both.update((e, w) for e in own for w in {w for w, _, _ in found(t, words(t))})
+    told, total = {}, len(distinct)
+    for (e, w), n in of_both.items():
+        if n >= pii.SUPPORT and of_entity[e] < total:
+            told[w] = max(told.get(w, 0), math.log(n * total / (of_entity[e] * of_term[w])) / math.log(total / of_entity[e]))
+    out = []
     for i, t, _ in texts:
-        base = ",".join(f"{k}:{s}:{e}" for k, s, e in pii.base_spans(t or ""))
-        n = Counter(k for k, _, _ in pii.base_spans(t or ""))
-        want[(i, *(n[k] for k in pii.KINDS), hashlib.sha256(base.encode()).hexdigest())] += 1
-        assert all(r["spans"].startswith(base) for r in rows if r["doc_id"] == i and t == t and sum(1 for j, *_ in texts if j == i) == 1)
-    assert by(rows, "doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256") == want
+        t = t or ""
+        spans = base(t)
+        terms = sorted(("remove" if told[w] >= pii.REMOVE else "generalise", a, b) for w, a, b in found(t, words(t)) if told.get(w, 0) >= pii.GENERALISE)
+        join = lambda xs: ",".join(f"{k}:{a}:{b}" for k, a, b in xs)
+        n = Counter(k for k, _, _ in spans)
+        out.append((i, *(n[k] for k in pii.KINDS), len(spans), hashlib.sha256(join(spans).encode()).hexdigest(), join([*spans, *terms])))
+    return out
+
+
+def test_pii_by_hand(spark, hard, texts, monkeypatch):
+    monkeypatch.setattr(work, "MIN_HOT", 1)  # lookups take both ways
+    want = _pii_by_hand(texts)
+    rows = got(spark, "op4_", hard)
+    assert by(rows, "doc_id", *(f"n_{k}" for k in pii.KINDS), "n_spans", "base_sha256", "spans") == Counter(want)
     # ab0zz stands beside jo.0@mail.example.com alone, quixotic beside all of them
     text = {i: t for i, t, _ in texts}
-    terms = {text[r["doc_id"]][int(s) : int(e)] for r in rows if r["spans"] for k, s, e in (x.split(":") for x in r["spans"].split(",")) if k in pii.TERMS}
+    terms = {text[r[0]][int(s) : int(e)] for r in want if r[-1] for k, s, e in (x.split(":") for x in r[-1].split(",")) if k in pii.TERMS}
     assert "ab0zz" in terms and "quixotic" not in terms
 
 
+def test_filter_lets_all_its_terms_pass(spark):
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(2**63), 2**63 - 1, 5000)
+    bloom = pii._bloom(spark.createDataFrame([(int(x),) for x in h[:500]], "_t long"), 500)
+    ok = pii._passes(bloom, h)
+    assert set(range(500)) <= set(ok.tolist()) and len(ok) < 600
+
+
 def test_pii_terms_stand_anywhere_in_the_text(spark):
     rng = random.Random(4)
     fill = lambda n: " ".join(rng.choice("abcdefgh") * 4 for _ in range(n))
@@ -195,6 +310,8 @@ def test_pii_terms_stand_anywhere_in_the_text(spark):
 
 def test_sanitised_column(spark, hard):
     docs = spark.read.parquet(f"{hard}/documents.parquet").where("doc_id < 150").dropDuplicates(["doc_id"])
+    few = spark.createDataFrame([(1, None, 1), (1, "a jo@x.org", 2), (1, "b jo@x.org", 3), (None, "", 4), (1, "b jo@x.org", 3)], "doc_id long, text string, _k int")
+    assert sorted(map(str, pii.sanitise(few).collect())) == sorted(map(str, [Row(doc_id=i, text=t and t.replace("jo@x.org", "[EMAIL]"), _k=k) for i, t, k in few.collect()]))
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.where("text LIKE '%@mail.example.com%'").count() == 0 and out.where("text LIKE '%[EMAIL]%'").count() > 3
 
@@ -202,14 +319,26 @@ def test_sanitised_column(spark, hard):
 def test_warc_index_finds_records(spark, hard):
     pages = spark.read.parquet(f"{hard}/pages.parquet")
     parts = warc.build_index(warc.write(pages))
-    top = [(r.first, r.path) for r in parts.orderBy("part").collect()]
+    top = warc.Index(warc.tops(parts))
     for r in pages.where("url IS NOT NULL").collect():
         found = warc.lookup(top, r.url)
         assert r.page_id in [x["page_id"] for x in found] and all(x["headers"]["WARC-Target-URI"] == r.url for x in found)
     assert warc.lookup(top, "http://nowhere.example/") == []
+    asked = spark.createDataFrame([("", None), ("nothing", 3), ("", 0), ("", 0)], "surt string, page_id long")
+    assert {r.page_id for r in warc.fetch(warc.locate(asked, parts)).collect()} == {0, None} - ({None} if pages.where("page_id IS NULL AND url IS NOT NULL").count() else set())
     assert base64.b32decode(warc.digest(b"x")) == hashlib.sha1(b"x").digest()
 
 
+def test_warc_blocks_are_searched(spark, monkeypatch):
+    """Captures of few keys over many blocks and parts: each is found by its key and id, and by its url."""
+    rows = [(i, None if i % 3 == 0 else f"http://x.org/{i % 4}", f"p{i}") for i in range(1200)] + [(None, "http://x.org/1", "n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    captures = warc.write(pages)
+    parts = warc.build_index(captures)
+    assert sorted((r.page_id is not None, r.page_id or 0) for r in warc.fetch(warc.locate(captures, parts)).collect()) == [(False, 0), *((True, i) for i in range(1200))]
+    assert len(warc.lookup(warc.Index(warc.tops(parts)), "http://x.org/1")) == sum(u == "http://x.org/1" for _, u, _ in rows)
+
+
 def test_warc_limit_leaves_small_payloads(spark):
     p = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "long enough"), (4, "u", "long enough")], "page_id long, url string, html string")
     got = {r.page_id: r._refers for r in warc.decide(p, least=5).collect()}
@@ -224,6 +353,16 @@ def test_media_give_the_texts_back(spark, hard, texts):
         pay = raw + bytes((-len(raw)) % 64 if raw else 64)
         want[(i, len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))] += 1
     assert by(rows, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want
+    for r in rows:  # features from the payload and the layout alone
+        t = next(t for i, t, _ in texts if i == r["doc_id"] and len((t or "").encode()) == r["n_bytes"] and (zlib.crc32(((t or "").encode() + bytes(r["payload_bytes"] - r["n_bytes"]))[-64:]) == r["tail_crc32"]))
+        pay = (t or "").encode() + bytes(r["payload_bytes"] - r["n_bytes"])
+        frames = -(-len(pay) // 937)
+        share = [n / len(pay) for n in Counter(pay).values()]
+        f = dict(x.split("=") for x in r["feature"].split(";"))
+        seek = list(map(int, r["seek"].split(",")))
+        assert (int(f["frames"]), int(f["samples"]), r["n_frames"], len(seek)) == (frames, 1152 * frames, frames, frames) and r["duration_s"] == 1152 * frames / 48000
+        assert abs(float(f["mean"]) - sum(pay) / len(pay)) < 1e-5 and abs(float(f["entropy"]) + sum(x * math.log2(x) for x in share)) < 1e-5
+        assert all(b - a == 960 for a, b in zip(seek, seek[1:])) and int(f["last"]) == seek[-1] and seek[-1] + 960 >= r["media_bytes"]
     assert len({(r["payload_sha256"], r["n_bytes"]) for r in rows}) == len({(r["media_sha256"], r["feature"]) for r in rows})
     info = mpeg.describe(spark.createDataFrame([(mpeg.store(b"x" * 3000, {}), 1), (None, 2), (b"zz", 3)], "media binary, info_id int")).collect()
     assert info[0].info.n_frames == 4 and info[0].info.duration_s == 4 * 1152 / 48000 and len(info[0].info.seek) == 4 and info[1].info.n_frames == info[2].info.n_frames == 0
@@ -252,7 +391,7 @@ def test_simhash_links_and_components(spark, hard, texts):
     assert by(got(spark, "op7_", hard), "doc_id", "fingerprint", "n_near", "component_id") == want
 
 
-def test_links_of_many_close_fingerprints(spark):
+def test_links_of_many_close_fingerprints(spark, monkeypatch):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = {b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(25)}
@@ -260,14 +399,19 @@ def test_links_of_many_close_fingerprints(spark):
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
     df = spark.createDataFrame([(x,) for x in signed], "_fp long")
     assert {(r.u, r.v) for r in simhash.links(df).collect()} == want
+    monkeypatch.setattr(simhash, "CELL", 5)  # hot block keys in cells, with lookups both ways
+    monkeypatch.setattr(work, "MIN_HOT", 3)
+    assert {(r.u, r.v) for r in simhash.links(df).collect()} == want
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("one_task", [simhash.ONE_TASK, 0])
+def test_components_of_a_chain_and_a_hub(spark, monkeypatch, one_task):
+    monkeypatch.setattr(work, "MIN_HOT", 5)
     order = list(range(60))
     random.Random(2).shuffle(order)
-    e = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(100, 101)], "u long, v long")
-    root = {r.u: r.root for r in simhash.components(e).collect()}
-    assert all(root[x] == 0 for x in range(1, 60)) and root[101] == 100
+    e = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(100, 101)] + [(250, x) for x in range(200, 250)], "u long, v long").repartition(4)
+    root = {r.u: r.root for r in simhash.components(e, one_task).collect()}
+    assert all(root[x] == 0 for x in range(1, 60)) and root[101] == 100 and all(root[x] == 200 for x in range(201, 251))
 
 
 def test_one_of_each_group_stays(spark, hard):
@@ -305,6 +449,54 @@ def test_mix_holds_its_targets(spark, hard):
     assert {r.doc_id: r.n for r in words if r.n} == {k: v for k, v in taken.items() if v}
 
 
+def _mixed_by_hand(rows):
+    """How often each row (doc_id, size, source) is taken: targets by raising the level, thresholds by sorting hashes."""
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, n, t in rows if t == s) for s in order}
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    capped, level = set(), Fraction(0)
+    while True:
+        free = [s for s in order if s not in capped]
+        if not free:
+            break
+        level = Fraction(sum(total.values()) - sum(3 * total[s] for s in capped), sum(weight[s] for s in free))
+        over = {s for s in free if level * weight[s] >= 3 * total[s]}
+        if not over:
+            break
+        capped |= over
+    target = {s: Fraction(3 * total[s]) if s in capped else level * weight[s] for s in order}
+    h = lambda i: int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+    out = []
+    for s in order:
+        times = target[s] // total[s] if total[s] else 0
+        want, before, more = target[s] - times * total[s], 0, {}
+        per = Counter()
+        for i, n, t in rows:
+            if t == s:
+                per[h(i)] += n
+        for x in sorted(per):  # taken once more while that comes nearer to the target
+            more[x] = 2 * before + per[x] <= 2 * want
+            before += per[x]
+        out += [(i, n, s, int(times) + more[h(i)]) for i, n, t in rows if t == s]
+    return out, target
+
+
+def test_mix_by_hand(spark, hard, texts):
+    rows = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for i, t, s in texts]
+    want, target = _mixed_by_hand(rows)
+    got_rows = got(spark, "op8_", hard)
+    assert by(got_rows, "doc_id", "size", "taken") == Counter((i, n, k * n) for i, n, _, k in want)
+    assert {round(r["target"], 6) for r in got_rows} == {round(float(x), 6) for x in target.values()}
+
+
+def test_mix_of_ties(spark):
+    """Rows of one id have one hash and go together; sources of equal size and weight have equal targets."""
+    rows = [(1, "a b", s) for s in ("p", "q", "r") for _ in range(5)] + [(i, "a b c", "t") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, _ = _mixed_by_hand([(i, len(t.split()), s) for i, t, s in rows])
+    assert by([r.asDict() for r in mixing.mix(docs).collect()], "doc_id", "size", "taken") == Counter((i, n, k * n) for i, n, _, k in want)
+
+
 def test_mix_nests(spark, hard):
     """A larger budget takes all that a smaller one takes: thresholds are on one line."""
     docs = spark.read.parquet(f"{hard}/documents.parquet").select("doc_id", "text", "source")
@@ -313,7 +505,7 @@ def test_mix_nests(spark, hard):
 
 
 def test_top_k_merges_over_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 7)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 40)
     monkeypatch.setattr(topk, "TILE", 3)
     monkeypatch.setattr(topk, "FAN", 3)
     rng = np.random.default_rng(4)
@@ -330,7 +522,6 @@ def test_top_k_merges_over_many_shards(spark, monkeypatch):
 
 def test_token_files_read_back(spark, hard, texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = sorted(got(spark, "op10_", hard), key=lambda r: r["start"])
     assert [r["start"] for r in rows] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])])[:-1].tolist()
     known = [r["doc_id"] for r in rows if r["doc_id"] is not None]
@@ -342,36 +533,79 @@ def test_token_files_read_back(spark, hard, texts):
     assert by(rows, "doc_id", "n_tokens", "ids_crc32") == want
 
 
+def _lines_by_hand(rows):
+    """rows (doc_id, text, source) after line dedup; a document that loses its last word goes."""
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    sites, first = {}, {}
+    for i, t, src in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            if strip(x):
+                sites.setdefault(strip(x), set()).add(src)
+                at = (i is None, i or 0, k)
+                first[strip(x)] = min(first.get(strip(x), at), at)
+    bad = {x for x, v in sites.items() if len(v) >= linededup.MIN_SITES}
+    out = []
+    for i, t, src in rows:
+        stays = lambda k, x: strip(x) not in bad or first[strip(x)] == (i is None, i or 0, k)  # noqa: E731, B023
+        new = t and "\n".join(x for k, x in enumerate(t.split("\n")) if stays(k, x))
+        if (new or "").split() or not (t or "").split():
+            out.append((i, new, src))
+    return out
+
+
+def _kept_by_hand(rows):
+    """One row of each component of near copies: the sizes of its groups of equal (doc_id, text) and the smallest id in each."""
+    fps = [simhash.fingerprint(t) for _, t, _ in rows]
+    left, out = set(range(len(rows))), []
+    while left:
+        stack, members = [left.pop()], []
+        while stack:
+            x = stack.pop()
+            members.append(x)
+            close = {j for j in left if (fps[x] ^ fps[j]).bit_count() <= 3}
+            left -= close
+            stack += close
+        best = min((rows[m][0] is None, rows[m][0] or 0) for m in members)
+        out.append([rows[m] for m in members if (rows[m][0] is None, rows[m][0] or 0) == best])
+    return out
+
+
 def test_pipeline_is_its_stages_by_hand(spark, hard, texts):
-    """The whole pipeline against plain loops; the toxicity model alone is taken from the operator."""
+    """All five stages against plain loops; the model of the first is held against loops in its own test."""
     docs = spark.read.parquet(f"{hard}/documents.parquet")
     model = toxicity.train(docs, spark.read.parquet(f"{hard}/labels.parquet"))
-    tox = corpus_pipeline.drop_toxic(spark, docs, hard)
-    assert tox.columns == docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    triple = lambda df: [(r.doc_id, r.text, r.source) for r in df.collect()]
+
+    def stage(name, docs):
+        out = work.cut(stages[name](spark, docs, hard), f"test-{name}")
+        assert out.columns == docs.columns and out.drop("doc_id", "text", "lang", "source", "n_chars").distinct().count() == 1  # clashing columns as they were
+        return out
+
+    tox = stage("toxicity", docs)
     dense = np.zeros(toxicity.DIMS)
     dense[model[0]] = model[1]
     s = toxicity.score_arrays(pa.array([t for _, t, _ in texts], pa.string()), dense, model[2])
-    left = [x for x, p in zip(texts, s) if p < 0.5]
-    assert by([r.asDict() for r in tox.collect()], "doc_id", "text") == Counter((i, t) for i, t, _ in left)
-    stages, last = dict(corpus_pipeline.STAGES), docs
-    for name in list(stages)[:-1]:
-        out = work.cut(stages[name](spark, last, hard), f"test-{name}")
-        assert out.columns == docs.columns and 0 < out.count()
-        last = out
-    # line dedup by hand
-    sites = {}
-    for _, t, src in left:
-        for x in (t or "").split("\n"):
-            if x.strip(" "):
-                sites.setdefault(x.strip(" "), set()).add(src)
-    bad = {x for x, v in sites.items() if len(v) >= linededup.MIN_SITES}
-    lined = corpus_pipeline.drop_boilerplate(spark, work.cut(tox, "t"), hard).collect()
-    assert all(r.n_chars == len(r.text) for r in lined if r.text is not None)
-    for x in bad:
-        assert sum((r.text or "").split("\n").count(x) for r in lined) <= 1 + 2 * (x in (texts[7][1] or ""))
-    got_rows = corpus_pipeline.run(spark, hard).collect()
-    assert {r.doc_id for r in got_rows} == {r.doc_id for r in last.select("doc_id").collect()}
-    assert sum(r.length for r in got_rows) == sum(r.doc_tokens for r in got_rows if r.start == 0)
+    assert Counter(triple(tox)) == Counter(x for x, p in zip(texts, s) if p < 0.5)
+    lined = stage("line_dedup", tox)
+    assert Counter(triple(lined)) == Counter(_lines_by_hand(triple(tox)))
+    assert all(r.n_chars == len(r.text) for r in lined.collect() if r.text is not None)
+    kept = stage("simhash_near_dedup", lined)
+    groups, rows = _kept_by_hand(triple(lined)), triple(kept)
+    assert len(rows) == len(groups) and all(sum(r in g for r in rows) == 1 for g in groups)
+    mixed = stage("mixing", kept)
+    want, _ = _mixed_by_hand([(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for i, t, s in rows])
+    assert Counter(i for i, _, _ in triple(mixed)) == Counter({i: k for i, _, _, k in want if k})
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = Counter()
+    for i, x, _ in triple(mixed):
+        tokens[i] += len(t.encode(x or "", add_special_tokens=False).ids) + 1
+    packed, ran = Counter(), Counter()
+    for r in stages["packing"](spark, mixed, hard).collect():
+        packed[r.doc_id] += r.length
+    for r in corpus_pipeline.run(spark, hard).collect():
+        ran[r.doc_id] += r.length
+    assert packed == ran == tokens
 
 
 def test_blank_documents_stay(spark):
@@ -383,6 +617,6 @@ def test_blank_documents_stay(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     said = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    assert work.shared_dir(spark) == said if said else os.path.isdir(work.shared_dir(spark)[7:])
+    assert work.shared_dir(spark) == work.qualified(spark, said) if said else os.path.isdir(work.shared_dir(spark)[7:])
     assert json.dumps(list(Q)) and re.fullmatch(r"op\d+_\w+", next(iter(Q)))
     assert pfor.BLOCK == 256

@@ -9,19 +9,23 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from millrace.llm import mpeg, packing, pfor, pii, public_vocab, simhash, textbytes, topk, toxicity, warc
 
 ODD = ["", " ", "a", "a  b", "\n\na b\n", " x\ty's I'LL", "a\x00b c", "É é \xa0é 　x", "ǅa İx ſt ŉa ß.. x'll a1b 1a ẞa don't. Ab,\n\nc", "a\x1cb \x85c", "<|endoftext|> x", "word. " * 50, "x" * 3000, "a.b..c ...d, e", "naïve façade Ünïcode — “q”", "1,234.5 +1 (555) 555-0100", "Σίσυφος ΣΑΣ"]
 
 
-@pytest.mark.parametrize("name,fn,fold", [("word_bpe_49k.json", public_vocab.word_ids, True), ("byte_bpe_50k.json", public_vocab.byte_ids, False)])
-def test_cached_ids_are_those_of_the_library(name, fn, fold):
+@pytest.mark.parametrize("name,fn", [("word_bpe_49k.json", public_vocab.word_ids), ("byte_bpe_50k.json", public_vocab.byte_ids)])
+def test_cached_ids_are_those_of_the_library(name, fn):
     path = public_tokenizers.path(name)
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice("abz .,\n'1é \x0bß") for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", " ", "\n", "hello", "É", "x1", "'s"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    library = Tokenizer.from_file(path)  # as it comes
     for t in texts:
-        assert fn(t, path) == public_vocab.load(path, fold).encode(t), repr(t)
+        assert fn(t, path) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
 def test_word_bounds_and_hashes():
@@ -42,11 +46,11 @@ def test_ftrl_matches_the_written_rule():
     z, n = {}, {}
     rng = random.Random(1)
     for _ in range(60):
-        at, y = sorted(rng.sample(range(9), 3)), rng.randint(0, 1)
+        at, y = [*sorted(rng.sample(range(9), 3)), toxicity.DIMS], rng.randint(0, 1)  # the last is the bias, without L1
 
         def w(i):
-            zi = z.get(i, 0.0)
-            return 0.0 if abs(zi) <= 0.3 else -(zi - (0.3 if zi > 0 else -0.3)) / ((1.0 + n.get(i, 0.0) ** 0.5) / 0.5 + 0.2)
+            zi, l1 = z.get(i, 0.0), 0.0 if i == toxicity.DIMS else 0.3
+            return 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((1.0 + n.get(i, 0.0) ** 0.5) / 0.5 + 0.2)
 
         ws = {i: w(i) for i in at}
         g = toxicity.sigmoid(sum(ws.values())) - y
@@ -54,8 +58,10 @@ def test_ftrl_matches_the_written_rule():
             s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / 0.5
             z[i] = z.get(i, 0.0) + g - s * ws[i]
             n[i] = n.get(i, 0.0) + g * g
-        m.learn(np.array(at), y)
-    assert all(abs(m.z[i] - z.get(i, 0.0)) < 1e-9 for i in range(9))
+        m.learn(np.array(at[:-1]), y)
+    assert all(abs(m.z[i] - z.get(i, 0.0)) < 1e-9 for i in (*range(9), toxicity.DIMS))
+    ws = m.weights(np.array([*range(9), toxicity.DIMS]))
+    assert all(abs(a - w(i)) < 1e-9 for a, i in zip(ws, (*range(9), toxicity.DIMS)))
 
 
 @pytest.mark.parametrize("length", [1, 2, 31, 32, 33, 500, 1024, 1025, 1500, 2047, 2048, 2049, 5000, 100_001])
@@ -68,12 +74,13 @@ def test_bins_hold_a_fixed_count_and_little_padding():
     rng = random.Random(5)
     p, full, seen = packing.Packer(0), {}, {}
     docs = [rng.choice([rng.randint(1, 40), rng.randint(1, 3000), rng.randint(1, 20_000)]) for _ in range(3000)]
-    events = [x for i, n in enumerate(docs) for x in p.put(i, n)]
-    assert all(len({packing.CAPACITY // n if n > packing.SMALL else n for _, _, n, _ in pieces}) <= 2 for _, pieces in events)
+    ids = lambda i, n: (np.arange(n, dtype="<u4") + i * 100_000).tobytes()
+    events = [x for i, n in enumerate(docs) for x in p.put(i, n, ids(i, n))]
+    assert all(len({packing.CAPACITY // n if n > packing.SMALL else n for _, _, n, *_ in pieces}) <= 2 for _, pieces in events)
     for seq, pieces in [*events, *p.end()]:
         at = 0
-        for doc, start, n, offset in pieces:
-            assert offset == at
+        for doc, start, n, offset, part in pieces:
+            assert offset == at and part == ids(doc, docs[doc])[4 * start : 4 * (start + n)]
             at += n
             seen.setdefault(doc, []).append((start, n))
         assert 0 < at <= 2048
@@ -201,17 +208,65 @@ def test_media_resynchronises():
     assert mpeg.parse(b"")["places"] == [] and mpeg.parse(b"no audio at all")["samples"] == 0
 
 
-def test_cells_pick_the_best():
+def test_cells_pick_the_best(monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 2)
+    monkeypatch.setattr(topk, "STRIP", 300)
     rng = np.random.default_rng(0)
     q, c = rng.integers(-9, 9, (5, 4)).astype(float), rng.integers(-9, 9, (5000, 4)).astype(float)
-    cid = np.arange(5000)
-    s, i = topk.cell_top(np.arange(5), q, cid, c, 7)
+    cid = np.arange(5000) // 2  # ids in pairs
+    s, i = topk.cell_top(np.arange(5), q, cid, np.arange(5000), c, 7)
     for k in range(5):
-        want = sorted((-int(x), j) for j, x in enumerate(c @ q[k]) if j != k)[:7]
+        want = sorted((-int(x), int(cid[j])) for j, x in enumerate(c @ q[k]) if j != k)[:7]
         assert list(zip(-s[k], i[k])) == want
+    few, _ = topk.cell_top(np.arange(2), q[:2], cid[:2], np.arange(2), c[:2], 7)
+    assert (few != topk.NONE).sum() == 2
     big = topk._products(np.array([[2.0**40]]), np.array([[2.0**40], [-(2.0**10)]]))
     assert big.tolist() == [[2**63 - 1, -(2**50)]]
 
 
+@pytest.mark.parametrize("v", [[], [1.0, -5.0], [40_000.0, 1.0], [2.0**40, -3.0]])
+def test_packed_vectors(v):
+    assert topk._dense([topk._packed(np.array(v))], len(v)).tolist() == [v]
+
+
+def _frame(four: bytes, body: bytes, bits: int) -> bytes:
+    """A protected frame of layer I or II: its CRC taken bit by bit over header and the first bits of its body."""
+    word, x = "".join(f"{b:08b}" for b in four[2:] + body)[: 16 + bits], 0xFFFF
+    for b in word:
+        top = x >> 15 ^ int(b)
+        x = (x << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return (four + x.to_bytes(2, "big") + body).ljust(mpeg.header(four)[0], b"\0")
+
+
+def test_checksums_of_the_other_layers():
+    rng = random.Random(4)
+    # mono layer I at 44.1 kHz: 32 allocations of 4 bits; layer II at 192 kbit/s, joint stereo from subband 8
+    one = _frame(b"\xff\xfe\x90\xc0", bytes(rng.randrange(256) for _ in range(60)), 128)
+    body = bytes(rng.randrange(256) for _ in range(80))
+    bits = "".join(f"{b:08b}" for b in body)
+    at, chosen = 0, 0
+    for sb in range(30):  # 96 kbit/s a channel: 30 subbands
+        width = 4 if sb < 11 else 3 if sb < 23 else 2
+        for _ in range(2 if sb < 8 else 1):
+            chosen += (2 if sb >= 8 else 1) * (int(bits[at : at + width], 2) > 0)
+            at += width
+    two = _frame(b"\xff\xfc\xa0\x50", body, at + 2 * chosen)
+    for frame in (one, two):
+        p = mpeg.parse(frame * 3)
+        assert (len(p["places"]), p["crc_good"], p["crc_bad"]) == (3, 3, 0)
+        hurt = bytearray(frame)
+        hurt[9] ^= 0x10
+        assert mpeg.parse(bytes(hurt) + frame)["crc_bad"] == 1
+
+
+def test_vbri_table_is_no_audio():
+    four = b"\xff\xfb\x90\x00"
+    size = mpeg.header(four)[0]
+    table = b"VBRI" + b"\0\1\0\0\0\0" + (5 * size).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"\0\2\0\1\0\2\0\2" + (2 * size).to_bytes(2, "big") * 2
+    stream = (four + bytes(32) + table).ljust(size, b"\0") + 4 * four.ljust(size, b"\0")
+    p = mpeg.parse(stream)
+    assert len(p["places"]) == 4 == p["xing"]["frames"] and p["samples"] == 4 * 1152 and p["xing"]["bytes"] == len(stream) and p["xing"]["steps"] == [2 * size] * 2
+
+
 def test_crc_of_ids_is_unsigned():
     assert zlib.crc32((1).to_bytes(4, "little")) >= 0
