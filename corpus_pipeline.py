@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import linededup, mixing, packing, simhash, toxicity
-from millrace.llm.work import cut, table, text_or_empty
+from millrace.llm.work import cut, fresh, only, table, text_or_empty
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half. The model learns from the labelled rows that aren't held out."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, into="_score").where(F.col("_score") < 0.5).drop("_score")
+    into = fresh(docs, "_score")
+    return only(toxicity.score(docs, model, into=into).where(F.col(into) < 0.5), docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     n_chars follows the text. A document without any word from the start stays.
     """
     blank = F.trim(F.regexp_replace(text_or_empty(), r"\s+", " ")) == ""
-    left = linededup.remove_lines(docs.withColumn("_blank", blank)).where(F.col("_blank") | ~blank)
-    return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    was = fresh(docs, "_blank")
+    left = linededup.remove_lines(docs.withColumn(was, blank)).where(F.col(was) | ~blank)
+    return only(left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
