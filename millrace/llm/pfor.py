@@ -5,10 +5,10 @@ holds BLOCK ids: its minimum is subtracted, the differences are packed at the wi
 others, the exceptions, are listed with position and full difference after the packed words. Any block, and so any
 document, can be read alone by way of the indexes. All coding is done on whole runs of blocks at a time.
 
-Texts become ids where they lie; the ids, two bytes each where they fit, are range-partitioned by key and sorted (a key of
-any number of rows is split by the hash of its text, and rows that are equal in both by their place, which changes
-nothing), so what is shuffled is about a third of the texts. A task writes its range as one or more files of up to
-FILE_IDS ids, and a manifest row per file (written by Spark, so that only files of successful attempts count) carries the numbers
+Documents are range-partitioned by key and sorted (a key of any number of rows is split by the hash of its text, and rows
+that are equal in both by their place, which changes nothing). Texts are shuffled, not ids: two bytes an id come to as
+much as the compressed text, and range partitioning reads its input twice, so that ids would have to be written first.
+A task writes its range as one or more files of up to FILE_IDS ids, and a manifest row per file (written by Spark, so that only files of successful attempts count) carries the numbers
 from which a file's first id follows. The running sum over the manifest is over files, not documents.
 
 Defined cases: a null or empty text is the end id alone; equal keys are ordered by the hash of their text, and repeated
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .packing import vocabulary
 from .public_vocab import byte_ids
-from .work import batched, column, cut, filesystem, map_arrow, new_dir, qualified, table
+from .work import batched, column, cut, filesystem, new_dir, qualified, table
 
 MAGIC = b"MRPFOR01"
 BLOCK = 256
@@ -162,26 +162,12 @@ class Reader:
         return decode_blocks(self.body, self.block_start[first:last].astype(np.int64))[a - first * BLOCK : b - first * BLOCK]
 
 
-def tokenised(docs: DataFrame, encode: Callable[[str], bytes], key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """(_key, _th, _ids): the ids of each row with its end id, as two or four bytes each, by the first byte."""
-    end = int(end_id).to_bytes(4, "little")
-
-    def one(t: str | None) -> bytes:
-        ids = np.frombuffer((encode(t) if t else b"") + end, "<u4")
-        return b"\2" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\4" + ids.tobytes()
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(one, b.column(2).to_pylist()), pa.binary())], names=["_key", "_th", "_ids"])
-
-    rows = docs.select(column(key).cast("long").alias("_key"), F.xxhash64(column(text).cast("string")).alias("_th"), column(text).cast("string").alias("_text"))
-    return map_arrow(rows, run, "_key long, _th long, _ids binary")
-
-
 def write(docs: DataFrame, encode: Callable[[str], bytes], key: str = "doc_id", text: str = "text", end_id: int = 0, path: str | None = None) -> DataFrame:
     """Write token files in ascending key order; the manifest: (part, seq, path, n_docs, n_ids)."""
     spark = docs.sparkSession
     batched(spark)
     root = qualified(spark, path) if path else new_dir(spark, "tokens")
+    end = int(end_id).to_bytes(4, "little")
     names = ["part", "seq", "path", "n_docs", "n_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,35 +176,34 @@ def write(docs: DataFrame, encode: Callable[[str], bytes], key: str = "doc_id",
         part, seq = TaskContext.get().partitionId(), 0
         keys: list = []
         lengths: list[int] = []
-        bufs: list[np.ndarray] = []
+        bufs: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held
             name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
-                write_file(out, keys, lengths, np.concatenate(bufs))
+                write_file(out, keys, lengths, np.frombuffer(b"".join(bufs), "<u4"))
             row = pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, seq, f"{root}/{name}", len(keys), held)], names=names)
             seq, held = seq + 1, 0
             keys.clear(), lengths.clear(), bufs.clear()
             return row
 
         for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint32)
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = (encode(t) if t else b"") + end
                 keys.append(k)
-                lengths.append(len(ids))
+                lengths.append(len(ids) // 4)
                 bufs.append(ids)
-                held += len(ids)
+                held += len(ids) // 4
                 if held >= FILE_IDS:
                     yield flush()
         if keys:
             yield flush()
 
-    # written first: range partitioning reads its input twice, and texts are not to be encoded twice
-    ids = cut(tokenised(docs, encode, key, text, end_id), "tokens-ids")
-    ranged = ids.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange("_key", "_th", "_at").sortWithinPartitions("_key", "_th").select("_key", "_ids")
-    return cut(ranged.mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long"), "tokens-manifest", ids)
+    rows = docs.select(column(key).cast("long").alias("_key"), column(text).cast("string").alias("_text")).withColumns({"_th": F.xxhash64("_text"), "_at": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange("_key", "_th", "_at").sortWithinPartitions("_key", "_th").select("_key", "_text")
+    return cut(ranged.mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
