@@ -86,9 +86,20 @@ def ngrams(words: Column, n: int) -> Column:
     return bind(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(runs(w)))
 
 
+def ngram_hashes(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words; none if there are fewer words. A word is hashed once, a run from its words' hashes."""
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n))))
+    return bind(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < n, F.array().cast("array<bigint>")).otherwise(runs(h)))
+
+
+def ngram_hash(words: list[Column]) -> Column:
+    """The hash of one run, as in ngram_hashes."""
+    return F.xxhash64(*(F.xxhash64(w) for w in words))
+
+
 def distinct_ngram_ratio(tokens: Column, n: int = 4) -> Column:
-    """Distinct n-grams over all; 1 for fewer than n + 1 tokens."""
-    ratio = bind(ngrams(tokens, n), lambda g: F.size(F.array_distinct(g)) / F.size(g))
+    """Distinct n-grams over all, by their 64-bit hashes; 1 for fewer than n + 1 tokens."""
+    ratio = bind(ngram_hashes(tokens, n), lambda g: F.size(F.array_distinct(g)) / F.size(g))
     return F.when(F.size(tokens) < n + 1, F.lit(1.0)).otherwise(ratio)
 
 

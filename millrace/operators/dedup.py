@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import cut
 
 
 def first_of(df: DataFrame, key: Column, order: str = "ord") -> DataFrame:
@@ -37,51 +37,52 @@ def excluded(df: DataFrame, other: DataFrame) -> DataFrame:
 def similar_pairs(df: DataFrame, threshold: float = 0.82, key: str = "ord", group: str = "language") -> DataFrame:
     """(left, right, jaccard) of rows of one group whose word sets are similar, left before right.
 
-    Prefix filter: in one order of words, rarest first, two sets of that similarity share a word among the first
-    n - ceil(t n) + 1 of each. Only these words join, with sizes compatible with the threshold, and each candidate is
-    verified once on the full sets.
+    Rows of equal sets are one class: only the first of a class is compared, and the pairs of classes are expanded at the
+    end. Words are 64-bit hashes. Prefix filter: in one order of words, rarest first, two sets of that similarity share a
+    word among the first n - ceil(t n) + 1 of each, and the places of the first shared word bound the overlap (positional
+    filter). Only these words join, with sizes compatible with the threshold, and each candidate is verified once.
     """
-    sets = df.select(F.col(key).alias("id"), F.col(group).alias("g"), T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0).persist(StorageLevel.MEMORY_AND_DISK)
+    words = F.array_sort(F.transform(T.word_set(F.col("text")), lambda w: F.xxhash64(w)))
+    rows = cut(df.select(F.col(key).alias("id"), F.col(group).alias("g"), words.alias("w")).where(F.size("w") > 0), "word-sets")
+    rows = cut(rows.withColumn("c", F.xxhash64("g", "w")), "word-classes", rows)
+    sets = cut(rows.groupBy("g", "c").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("w").alias("w")), "distinct-sets")
     freq = sets.select("g", F.explode("w").alias("x")).groupBy("g", "x").agg(F.count("*").alias("f"))
     ranked = sets.select("id", "g", F.explode("w").alias("x")).join(freq, ["g", "x"]).groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"))
     n = F.size("r")
-    prefix = ranked.select("id", "g", n.alias("n"), F.explode(F.slice(F.col("r"), F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)).alias("p")).select("id", "g", "n", F.col("p.x").alias("x"))
+    prefix = ranked.select("id", "g", n.alias("n"), F.posexplode(F.slice(F.col("r"), F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)).alias("at", "p"))
+    prefix = cut(prefix.select("id", "g", "n", "at", F.col("p.x").alias("x")), "word-prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     c = F.col
-    cand = a.join(b, (c("a.g") == c("b.g")) & (c("a.x") == c("b.x")) & (c("a.id") < c("b.id")) & (c("a.n") >= c("b.n") * threshold - 1e-9) & (c("b.n") >= c("a.n") * threshold - 1e-9))
-    cand = cand.select(c("a.id").alias("left"), c("b.id").alias("right")).distinct()
+    # at the first shared word no more than the words from there on can be shared
+    most = F.least(c("a.n") - c("a.at"), c("b.n") - c("b.at"))
+    first = most >= (c("a.n") + c("b.n")) * (threshold / (1 + threshold)) - 1e-9
+    cand = a.join(b, (c("a.g") == c("b.g")) & (c("a.x") == c("b.x")) & (c("a.id") < c("b.id")) & (c("a.n") >= c("b.n") * threshold - 1e-9) & (c("b.n") >= c("a.n") * threshold - 1e-9) & first)
+    cand = cut(cand.select(c("a.id").alias("left"), c("b.id").alias("right")).distinct(), "word-candidates", prefix)
     full = sets.select("id", "w")
     both = cand.join(full.withColumnsRenamed({"id": "left", "w": "wl"}), "left").join(full.withColumnsRenamed({"id": "right", "w": "wr"}), "right")
-    return both.select("left", "right", T.jaccard(c("wl"), c("wr")).alias("jaccard")).where(c("jaccard") >= threshold)
+    # in the join's own order of ids; by class, then by row
+    near = both.select("left", "right", T.jaccard(c("wl"), c("wr")).alias("jaccard")).where(c("jaccard") >= threshold)
+    own = sets.where("copies > 1").select(c("id").alias("left"), c("id").alias("right"), F.lit(1.0).alias("jaccard"))
+    member = rows.join(sets.select("g", "c", c("id").alias("first")), ["g", "c"]).select("id", "first")
+    l, r = member.select(c("first").alias("left"), c("id").alias("l")), member.select(c("first").alias("right"), c("id").alias("r"))
+    every = near.unionByName(own).join(l, "left").join(r, "right").where((c("left") != c("right")) | (c("l") < c("r")))
+    return every.select(F.least("l", "r").alias("left"), F.greatest("l", "r").alias("right"), "jaccard")
 
 
-def greedy_survivors(ids: DataFrame, pairs: DataFrame, key: str = "ord", rounds: int = 100) -> DataFrame:
+def greedy_survivors(ids: DataFrame, pairs: DataFrame, key: str = "ord") -> DataFrame:
     """ids that a keep-first pass keeps: a row goes if an earlier row that stays is its partner.
 
     Each round settles every row whose earlier partners are settled: without one left it stays, and its later partners
-    go. The rounds needed are the longest chain of partners; state is written out each round, so lineage stays short.
+    go. The rounds needed are the longest chain of partners; each round's state is written out, so lineage stays short.
     """
-    spark = ids.sparkSession
-    edges = pairs.select("left", "right").persist()
-    kept = None
-    open_ = edges
-    dropped = spark.createDataFrame([], "id long")
-    for _ in range(rounds):
+    open_ = cut(pairs.select("left", "right"), "partners")
+    dropped = None
+    while open_.head(1):
         # rows that still have an undecided earlier partner
         waiting = open_.select(F.col("right").alias("id")).distinct()
-        sure = open_.select(F.col("left").alias("id")).distinct().join(waiting, "id", "left_anti")
-        gone = open_.join(sure, open_["left"] == sure["id"]).select(F.col("right").alias("id")).distinct()
-        dropped = dropped.unionByName(gone).distinct().checkpoint() if _has_folder(spark) else dropped.unionByName(gone).distinct().persist()
-        rest = open_.join(dropped, open_["left"] == dropped["id"], "left_anti").join(dropped, F.col("right") == dropped["id"], "left_anti")
-        rest = rest.join(sure, rest["left"] == sure["id"], "left_anti")
-        open_ = rest.checkpoint() if _has_folder(spark) else rest.persist()
-        if not open_.head(1):
-            kept = ids.join(dropped, ids[key] == dropped["id"], "left_anti")
-            break
-    if kept is None:
-        raise RuntimeError("the chains of partners are longer than the rounds allowed")
-    return kept
-
-
-def _has_folder(spark) -> bool:
-    return bool(spark.sparkContext.getCheckpointDir())
+        sure = cut(open_.select(F.col("left").alias("id")).distinct().join(waiting, "id", "left_anti"), "partners-kept")
+        gone = cut(open_.join(sure, open_["left"] == sure["id"]).select(F.col("right").alias("id")).distinct(), "partners-gone")
+        rest = open_.join(gone, open_["left"] == gone["id"], "left_anti").join(gone, F.col("right") == gone["id"], "left_anti")
+        open_ = cut(rest.join(sure, rest["left"] == sure["id"], "left_anti"), "partners", open_, sure)
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+    return ids if dropped is None else ids.join(dropped, ids[key] == dropped["id"], "left_anti")

@@ -148,8 +148,8 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     words = lambda c: F.filter(F.split(T.squeeze(c), " "), lambda w: w != "")
     i = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    long = i.where(F.size("w") >= 8).select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, 6), " ")).alias("g"))
-    grams = docs.select("ord", F.explode(F.array_distinct(F.transform(T.ngrams(words(F.col("text")), 6), lambda g: F.xxhash64(g)))).alias("g"))
+    long = i.where(F.size("w") >= 8).select("item_id", "item", T.ngram_hash([F.get("w", F.lit(k)) for k in range(1, 7)]).alias("g"))
+    grams = docs.select("ord", F.explode(F.array_distinct(T.ngram_hashes(words(F.col("text")), 6))).alias("g"))
     found = grams.join(long.select("g", "item_id"), "g").select("ord", "item_id").distinct()
     a = found.join(long.select("item_id", "item"), "item_id").join(docs.select("ord", "text"), "ord").where(F.contains("text", "item")).select("ord", "item_id")
     short = i.where(F.size("w") < 8).select("item_id", "item")

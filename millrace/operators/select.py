@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 
 #: Slices of a total order that are summed on their own.
 SLICES = 1024
@@ -31,10 +32,11 @@ def with_before(df: DataFrame, amount: Column, order: list[str], by: list[str] |
 
     One window over all rows, or over a hot group, would be one task. Here slices of the order are totalled with map-side
     combination, a window over at most a few thousand slice totals per group gives each slice's start, and the rows of a
-    slice are summed by the task that has it.
+    slice are summed by the task that has it. df is read three times, so it is written first: it should be narrow.
     """
     by = by or []
-    sliced = df.withColumns({"_slice": slice_of(df, order[0]), "_amount": amount})
+    df = cut(df.withColumn("_amount", amount), "running")
+    sliced = df.withColumn("_slice", slice_of(df, order[0]))
     totals = sliced.groupBy(*by, "_slice").agg(F.sum("_amount").alias("_t"))
     start = F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select(*by, "_slice", start.alias("_start"))
@@ -96,13 +98,20 @@ def keyed_fold(df: DataFrame, key: str, order: list[str], step: Callable[[pd.Dat
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def next_fit(lengths: Column, limit: int) -> Column:
-    """Row numbers of a next-fit packing of an array of lengths: a new row whenever the next one no longer fits."""
-    start = F.struct(F.lit(0).alias("row"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("rows"))
+def next_fit(df: DataFrame, by: str, order: str, length: str, limit: int) -> DataFrame:
+    """(by, order, row): next-fit rows per group; a row ends when the next length no longer fits. The state is one number a group.
 
-    def step(s: Column, n: Column) -> Column:
-        new = (s["used"] > 0) & (s["used"] + n > limit)
-        row = F.when(new, s["row"] + 1).otherwise(s["row"])
-        return F.struct(row.alias("row"), F.when(new, n).otherwise(s["used"] + n).alias("used"), F.concat(s["rows"], F.array(row)).alias("rows"))
+    Rows arrive sorted and leave batch by batch, so a group of any size needs no more memory than a batch.
+    """
 
-    return F.aggregate(lengths, start, step)["rows"]
+    def step(b: pd.DataFrame, s: dict) -> pd.DataFrame:
+        rows = []
+        for group, n in zip(b[by], b[length]):
+            row, used = s.get(group, (0, 0))
+            row, used = (row + 1, n) if used and used + n > limit else (row, used + n)
+            s[group] = row, used
+            rows.append(row)
+        return pd.DataFrame({by: b[by], order: b[order], "row": rows})
+
+    kinds = dict(df.dtypes)
+    return keyed_fold(df.select(by, order, length), by, [order], step, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, row long")

@@ -96,9 +96,9 @@ def structural_fingerprint(spark, d):
 def ngram_containment(spark, d):
     """Per benchmark item the share of its word 8-grams that occur in the documents."""
     words = lambda c: F.filter(F.split(T.squeeze(c), " "), lambda w: w != "")
-    items = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.ngrams(words(F.col("text")), 8))).alias("g"))
+    items = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.ngram_hashes(words(F.col("text")), 8))).alias("g"))
     grams = items.select("g").distinct()
-    found = records(spark, d).select(F.explode(T.ngrams(words(F.col("text")), 8)).alias("g")).join(grams, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
+    found = records(spark, d).select(F.explode(F.array_distinct(T.ngram_hashes(words(F.col("text")), 8))).alias("g")).join(grams, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
     per = items.join(found, "g", "left").groupBy("item_id").agg(F.count("*").alias("grams"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"))
     return table(spark, d, "benchmark").select("item_id").join(per, "item_id", "left").select("item_id", F.coalesce("grams", F.lit(0)).cast("long").alias("grams"), (F.col("found") / F.col("grams")).alias("containment"))
 

@@ -125,7 +125,7 @@ def strip_boilerplate(spark, d):
 
 
 def slugs(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "benchmark").select("item_id", T.slug(F.col("text")).alias("slug"))
 
 
 def repetition(spark, d):
@@ -179,7 +179,7 @@ SQL = {
     "python_syntax": "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, true), (6, false)) AS t(id, parses)",
     "chunking": "WITH c AS (SELECT doc_id, text, unnest(range(greatest(0, (length(text) - 1) // 2000) + 1)) AS chunk FROM documents) SELECT doc_id, chunk, md5(substr(text, chunk * 2000 + 1, 2000)) AS digest FROM c",
     "strip_boilerplate": "WITH b AS (SELECT page_id, regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) AS b FROM pages) SELECT page_id, length(b) AS body_chars, length(regexp_replace(b, '<[^>]*>', '', 'g')) AS text_chars FROM b",
-    "slugs": r"SELECT item_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS slug FROM benchmark",
+    "slugs": r"SELECT item_id, substr(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS slug FROM benchmark",
     "repetition": f"WITH t AS (SELECT doc_id, {_ws} AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] AS g FROM t), r AS (SELECT doc_id, n, CASE WHEN n < 5 THEN 1.0::DOUBLE ELSE len(list_distinct(g)) / len(g) END AS ratio FROM g) SELECT doc_id, ratio, ratio < 0.4 AND n >= 32 AS collapsed FROM r",
     "lr_schedule": "WITH s AS (SELECT unnest(range(0, 1000, 50)) AS step) SELECT step, round(CASE WHEN step < 100 THEN 6e-4 * (step + 1) / 100 WHEN step < 400 THEN 6e-4 ELSE 6e-5 + 0.5 * (6e-4 - 6e-5) * (1 + cos(pi() * least(1.0, (step - 400) / 600))) END, 12) AS rate FROM s",
     "window_sample": f"WITH t AS (SELECT doc_id, {_ws} AS w FROM documents), s AS (SELECT *, 1 + floor({_dr(4, 0)} * (len(w) - 31))::INT AS a FROM t) SELECT doc_id, md5(array_to_string(CASE WHEN len(w) <= 32 THEN w ELSE w[a:a + 31] END, ' ')) AS digest FROM s",

@@ -74,7 +74,7 @@ def name_fallback(spark, d):
 
 def suffix_stop(spark, d):
     """The first substantial line of what follows a hole: where a completion is to stop."""
-    r = records(spark, d).where("ord < 200")
+    r = records(spark, d)
     substantial = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 4)
     return r.select(F.col("ord").alias("doc_id"), F.try_element_at(substantial, F.lit(1)).alias("stop"))
 
@@ -154,7 +154,7 @@ def synthetic_rows(spark, d):
 def task_digest(spark, d):
     """A task's digest over its squeezed, lower-case parts."""
     b = table(spark, d, "benchmark")
-    return b.select("item_id", T.sha(F.concat_ws("\n", F.lit("v1"), T.normal(F.col("text")), T.slug(F.substring("text", 1, 30)))).alias("digest"))
+    return b.select("item_id", T.sha(F.concat_ws("\n", F.lit("v1"), T.normal(F.col("text")), T.slug(F.col("text")))).alias("digest"))
 
 
 _FUNCS = (curriculum_language, stream_bucket, sft_accept, safe_imports, replay_strip, name_fallback, suffix_stop, tab_expand, verdict_lines, smoke_fractions, smoke_balance, round_robin, frame_budget, synthetic_rows, task_digest)
@@ -166,12 +166,12 @@ SQL = {
     "safe_imports": "SELECT * FROM (VALUES (1, true, false), (2, false, false), (3, true, false), (4, false, false), (5, true, true), (6, true, true)) AS t(id, allowed, \"unsafe\")",
     "replay_strip": "SELECT repository, regexp_replace(repository, '/replay-[0-9]+$', '') AS base FROM (VALUES ('a/b/replay-3'), ('a/replay-x'), ('replay-1'), ('c/replay-12')) AS t(repository)",
     "name_fallback": f"SELECT w.name, coalesce(a.id, b.id, 0) AS id FROM ({WANTED}) w LEFT JOIN ({MODELS}) a ON w.name = a.name LEFT JOIN ({MODELS}) b ON split_part(w.name, ':', 1) = b.name",
-    "suffix_stop": "SELECT doc_id, [x FOR x IN [trim(y, ' ') FOR y IN string_split(text, chr(10))] IF length(x) >= 4][1] AS stop FROM documents WHERE doc_id < 200",
+    "suffix_stop": "SELECT doc_id, [x FOR x IN [trim(y, ' ') FOR y IN string_split(text, chr(10))] IF length(x) >= 4][1] AS stop FROM documents",
     "tab_expand": "SELECT * FROM (VALUES (1, '    x' || chr(10) || '        y' || chr(10) || '  z' || chr(9) || 'w'), (2, ''), (3, 'a' || chr(10) || '    ')) AS t(id, code)",
     "verdict_lines": "SELECT * FROM (VALUES (1, 'pass'), (2, 'syntax'), (3, 'runtime'), (4, 'timeout'), (5, 'fail'), (6, 'syntax')) AS t(id, verdict)",
     "smoke_fractions": "SELECT role, count(*) AS turns, avg((text LIKE '%.')::INT) AS stopped, avg((length(text) < 200)::INT) AS short FROM conversations GROUP BY 1",
     "smoke_balance": "SELECT name, allocated::BIGINT AS allocated FROM (VALUES ('a', 7), ('b', 3), ('c', 1), ('d', 1)) AS t(name, allocated)",
     "frame_budget": f"WITH {RECORDS} SELECT ord AS doc_id, 506 - len(string_split_regex(repository, '[ /]')) - len(string_split_regex(path, '[ /]')) AS budget, '<|repo|>' || repository || '<|file|>' || path AS head FROM rec",
     "synthetic_rows": "SELECT id, array_to_string([('0x' || substr(md5(id || ':' || j), 1, 8))::BIGINT % 1000 FOR j IN range(16)], ' ') AS ids FROM range(100) t(id)",
-    "task_digest": rf"SELECT item_id, sha256(concat_ws(chr(10), 'v1', lower({squeeze_sql('text')}), substr(regexp_replace(regexp_replace(lower(substr(text, 1, 30)), '[^\p{{L}}\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80))) AS digest FROM benchmark",
+    "task_digest": rf"SELECT item_id, sha256(concat_ws(chr(10), 'v1', lower({squeeze_sql('text')}), substr(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80))) AS digest FROM benchmark",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as P
 from ..functions import text as T
+from ..storage import cut
 from .fixtures import RECORDS, counted, fraction_sql, normal_sql, records, squeeze_sql, table, values
 
 PLANTED = r'token = "[0-9a-f]{40}"'
@@ -30,13 +31,15 @@ def policy_reasons(spark, d):
 
 def policy_report(spark, d):
     """Rows and bytes by language and first reject reason, dedup reasons last, over what the row-local rules leave."""
-    r = records(spark, d).withColumn("reason", _reason())
-    left = r.where(F.col("reason").isNull()).select("ord", "language", F.octet_length("text").cast("long").alias("bytes"), T.sha(F.col("text")).alias("e"), T.sha(T.normal(F.col("text"))).alias("n"))
+    fine = lambda x: F.when(F.col("reason").isNull(), x)
+    r = records(spark, d).withColumn("reason", _reason()).select("ord", "language", "reason", F.octet_length("text").cast("long").alias("bytes"), fine(T.sha(F.col("text"))).alias("e"), fine(T.sha(T.normal(F.col("text")))).alias("n"))
+    r = cut(r, "policy")  # the texts are read once, the rest runs on narrow rows
+    left = r.where(F.col("reason").isNull())
     firsts = left.groupBy("e").agg(F.min("ord").alias("ord")).select("ord", F.lit(True).alias("fe"))
     firstn = left.groupBy("n").agg(F.min("ord").alias("ord")).select("ord", F.lit(True).alias("fn"))
     dup = F.when(F.col("fe").isNull(), "exact_duplicate").when(F.col("fn").isNull(), "normalized_duplicate").otherwise("accepted")
     kept = left.join(firsts, "ord", "left").join(firstn, "ord", "left").select("language", "bytes", dup.alias("reason"))
-    both = kept.unionByName(r.where(F.col("reason").isNotNull()).select("language", F.octet_length("text").cast("long").alias("bytes"), "reason"))
+    both = kept.unionByName(r.where(F.col("reason").isNotNull()).select("language", "bytes", "reason"))
     return both.groupBy("language", "reason").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"))
 
 

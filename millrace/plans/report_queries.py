@@ -29,8 +29,8 @@ def rejection_histogram(spark, d):
 
 def grouping_sets_totals(spark, d):
     """Totals by source and by language in one pass."""
-    counted(records(spark, d)).drop("text").createOrReplaceTempView("_rec")
-    return spark.sql("SELECT source, language, count(*) AS docs, sum(tokens) AS tokens FROM _rec GROUP BY GROUPING SETS ((source), (language))")
+    sets = [[F.col("source")], [F.col("language")]]
+    return counted(records(spark, d)).groupingSets(sets, "source", "language").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
 def fill_gate(spark, d):
@@ -84,8 +84,7 @@ def pass_at_k(spark, d):
 def suite_score(spark, d):
     """Mean pass@1 over tasks, tasks solved, syntax rate: overall and by category in one pass."""
     t = _outcomes(spark, d).groupBy("category", "task").agg(F.count("*").alias("n"), F.count_if("functional").alias("c"), F.count_if("syntax").alias("s"))
-    t.createOrReplaceTempView("_tasks")
-    return spark.sql("SELECT category, count(*) AS tasks, round(avg(c / n), 9) AS pass_1, count_if(c > 0) AS solved, sum(s) / sum(n) AS syntax FROM _tasks GROUP BY GROUPING SETS ((), (category))")
+    return t.groupingSets([[], [F.col("category")]], "category").agg(F.count("*").alias("tasks"), F.round(F.avg(F.col("c") / F.col("n")), 9).alias("pass_1"), F.count_if(F.col("c") > 0).alias("solved"), (F.sum("s") / F.sum("n")).alias("syntax"))
 
 
 def task_pass(spark, d):
@@ -154,8 +153,8 @@ def plateau(spark, d):
 
 
 def resume_counts(spark, d):
-    """Samples still to be drawn per task, ten each."""
-    done = _outcomes(spark, d).where("doc_id % 2 = 0").groupBy("task").agg(F.count("*").alias("done"))
+    """Samples still to be drawn per task, ten each: those that have a label are done."""
+    done = _outcomes(spark, d).groupBy("task").agg(F.count("*").alias("done"))
     all_ = records(spark, d).select(F.col("source").alias("task")).distinct()
     return all_.join(done, "task", "left").select("task", F.greatest(F.lit(0), F.lit(10) - F.coalesce("done", F.lit(0))).cast("long").alias("todo"))
 
@@ -191,5 +190,5 @@ SQL = {
     "bits_per_byte": f"WITH {RECORDS}, r AS (SELECT language, sum(tokens)::BIGINT AS tokens, sum(bytes)::BIGINT AS bytes FROM rec GROUP BY 1) SELECT language, round(2.0::DOUBLE * tokens / (ln(2.0::DOUBLE) * bytes), 9) AS bpb FROM r",
     "plateau": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS loss FROM events GROUP BY 1), b AS (SELECT *, min(loss) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM e),
  g AS (SELECT *, sum((was IS NULL OR loss < was - 0.5)::INT) OVER (ORDER BY day) AS island FROM b) SELECT day, loss, least(loss, coalesce(was, loss)) AS best, (row_number() OVER (PARTITION BY island ORDER BY day) - 1)::BIGINT AS stale FROM g""",
-    "resume_counts": f"WITH {_OUT}, x AS (SELECT task, count(*) AS done FROM o WHERE doc_id % 2 = 0 GROUP BY 1) SELECT DISTINCT source AS task, greatest(0, 10 - coalesce(done, 0))::BIGINT AS todo FROM documents LEFT JOIN x ON source = task",
+    "resume_counts": f"WITH {_OUT}, x AS (SELECT task, count(*) AS done FROM o GROUP BY 1) SELECT DISTINCT source AS task, greatest(0, 10 - coalesce(done, 0))::BIGINT AS todo FROM documents LEFT JOIN x ON source = task",
 }

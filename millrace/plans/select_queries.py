@@ -148,9 +148,7 @@ def repeat_factor(spark, d):
 def next_fit_pack(spark, d):
     """Next-fit rows of 513 tokens for each source's documents of at most that length."""
     r = counted(records(spark, d)).where(F.col("tokens").between(1, 513)).select("source", "ord", "tokens")
-    g = r.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", "tokens"))).alias("x"))
-    g = g.withColumn("rows", S.next_fit(F.transform("x", lambda y: y["tokens"]), 513))
-    return g.select("source", F.explode(F.arrays_zip(F.col("x"), F.col("rows"))).alias("z")).select("source", F.col("z.x.ord").alias("doc_id"), F.col("z.rows").cast("long").alias("row"))
+    return S.next_fit(r, "source", "ord", "tokens", 513).withColumnRenamed("ord", "doc_id")
 
 
 def stride_sample(spark, d):
@@ -175,9 +173,10 @@ def top_common(spark, d):
 
 
 def set_operations(spark, d):
-    """Sources in both halves of the ids, in the first alone, and in any, by union, intersect and except."""
+    """(source, language) of documents with a license line and of labelled ones: in both, in the first alone, and in any."""
     r = records(spark, d)
-    a, b = r.where("ord < 300").select("source", "language"), r.where("ord >= 300 AND source <> 'src2'").select("source", "language")
+    a = r.where("license <> 'OWNED'").select("source", "language")
+    b = r.join(table(spark, d, "labels").select("doc_id").distinct(), F.col("ord") == F.col("doc_id"), "left_semi").select("source", "language")
     tag = lambda df, what: df.select(F.lit(what).alias("op"), "source", "language")
     return tag(a.intersect(b), "intersect").unionByName(tag(a.subtract(b), "except")).unionByName(tag(a.union(b).distinct(), "union"))
 
@@ -226,7 +225,7 @@ SQL = {
     "stable_order": f"WITH {RECORDS} SELECT ord AS doc_id, row_number() OVER (ORDER BY sha256('13:' || path)) AS place FROM rec",
     "offset_limit": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100",
     "top_common": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type, user_id LIMIT 15",
-    "set_operations": f"""WITH {RECORDS}, a AS (SELECT source, language FROM rec WHERE ord < 300), b AS (SELECT source, language FROM rec WHERE ord >= 300 AND source <> 'src2')
+    "set_operations": f"""WITH {RECORDS}, a AS (SELECT source, language FROM rec WHERE license <> 'OWNED'), b AS (SELECT source, language FROM rec WHERE ord IN (SELECT doc_id FROM labels))
  SELECT 'intersect' AS op, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'union', * FROM (SELECT * FROM a UNION SELECT * FROM b)""",
     "split_leakage": f"WITH {RECORDS}, v AS (SELECT repository, {fraction_sql("sha256('17:' || repository)")} < 0.2 AS v FROM rec) SELECT count(*) AS shared FROM (SELECT repository FROM v WHERE v INTERSECT SELECT repository FROM v WHERE NOT v)",
     "union_sources": "SELECT 0 AS rank, 'documents' AS origin, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes FROM documents UNION ALL SELECT 1, 'pages', count(*), sum(strlen(html))::BIGINT FROM pages UNION ALL SELECT 2, 'conversations', count(*), sum(strlen(text))::BIGINT FROM conversations",
