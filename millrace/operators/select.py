@@ -72,6 +72,13 @@ def largest_remainder(shares: DataFrame, total: int, share: str = "share", rank:
     return base.withColumns({"_left": left, "_place": place}).withColumn("allocated", F.col("_floor") + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)).drop("_floor", "_rest", "_left", "_place")
 
 
+def balanced(allocated: DataFrame, rank: str = "rank") -> DataFrame:
+    """An allocation in which nothing gets nothing: one each from the largest donor, ties by rank. A row a share."""
+    none = F.count_if(F.col("allocated") == 0).over(Window.partitionBy())
+    donor = F.row_number().over(Window.orderBy(F.desc("allocated"), rank)) == 1
+    return allocated.withColumn("allocated", F.when(F.col("allocated") == 0, 1).otherwise(F.col("allocated") - F.when(donor, none).otherwise(0)).cast("long"))
+
+
 def ordered_fold(df: DataFrame, order: list[str], step: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str) -> DataFrame:
     """A fold over narrow rows in order, with one state: for selections whose caps, quotas and dedup interact.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dedup_queries, example_queries, extra_queries, policy_queries, report_queries, select_queries
+from . import dedup_queries, example_queries, extra_queries, io_queries, policy_queries, program_queries, report_queries, select_queries
 
-MODULES = [policy_queries, dedup_queries, select_queries, report_queries, example_queries, extra_queries]
+MODULES = [policy_queries, dedup_queries, select_queries, report_queries, example_queries, extra_queries, program_queries, io_queries]
 
 
 def queries() -> dict:

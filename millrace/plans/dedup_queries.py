@@ -89,10 +89,6 @@ def near_dup_greedy(spark, d):
     return dedup.greedy_survivors(r.select("ord"), dedup.similar_pairs(r, 0.82)).select(F.col("ord").alias("doc_id"))
 
 
-def structural_fingerprint(spark, d):
-    return values(spark, guard.SNIPPETS).select("id", guard.fingerprint(F.col("language"), F.col("code")).alias("fingerprint"))
-
-
 def ngram_containment(spark, d):
     """Per benchmark item the share of its word 8-grams that occur in the documents."""
     words = lambda c: F.filter(F.split(T.squeeze(c), " "), lambda w: w != "")
@@ -105,7 +101,7 @@ def ngram_containment(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (exact_dedup, normalized_dedup, output_dedup, exclusion_antijoin, content_ids, first_lines, signatures, decontaminate, decontaminate_hash, decontaminate_substring, drop_gate, eval_guard, word_sets, jaccard_pairs, near_dup_greedy, structural_fingerprint, ngram_containment)
+    for f in (exact_dedup, normalized_dedup, output_dedup, exclusion_antijoin, content_ids, first_lines, signatures, decontaminate, decontaminate_hash, decontaminate_substring, drop_gate, eval_guard, word_sets, jaccard_pairs, near_dup_greedy, ngram_containment)
 }
 _SETS = "CASE WHEN TRUE THEN list_distinct([lower(x) FOR x IN regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*') IF length(x) > 2]) END"
 _PAIRS = f"""s AS (SELECT doc_id AS id, lang, {_SETS} AS w FROM documents), i AS (SELECT id, lang, len(w) AS n, unnest(w) AS x FROM s),

@@ -33,19 +33,6 @@ def fim_encode(spark, d):
     return q.select(F.col("ord").alias("doc_id"), "psm", T.sha(X.fim_text(F.col("h"), F.col("psm"))).alias("encoded"))
 
 
-PROGRAMS = r"""SELECT * FROM (VALUES (1, 'import os\n\ndef f(x):\n    y = x\n    return y\n\nz = 1\n'), (2, 'const a = (b) => {\n  if (b) {\n    return 1;\n  }\n};\nlet c;\n'), (3, 'x = 1\n'),
- (4, 'function g() {\n  return 2;\n}\n'), (5, 'class A:\n  def m(self):\n    pass\n'), (6, 'def broken(:\n')) AS t(id, code)"""
-
-
-def block_holes(spark, d):
-    h = values(spark, PROGRAMS).withColumn("h", X.block_hole(F.col("code"), F.lit(0.0)))
-    return h.select("id", F.col("h.prefix").alias("prefix"), F.col("h.middle").alias("middle"), F.col("h.suffix").alias("suffix"))
-
-
-def python_syntax(spark, d):
-    return values(spark, PROGRAMS).select("id", X.parses(F.col("code")).alias("parses"))
-
-
 def _words_as_ids(c):
     """Word lengths stand for token ids."""
     return F.transform(F.split(T.squeeze(c), " "), lambda w: F.length(w))
@@ -88,29 +75,6 @@ def prompt_template(spark, d):
     return a.select("id", F.concat(F.lit("### Instruction:\n"), "instruction", body, F.lit("\n### Response:\n")).alias("prompt"))
 
 
-DIALECTS = """SELECT * FROM (VALUES (1, '<fim_prefix>a<fim_suffix>b<fim_middle>'), (2, '<|fim_prefix|>c<|fim_suffix|>d<|fim_middle|>'), (3, '<PRE> e <SUF>f <MID>'), (4, '[SUFFIX]h[PREFIX]g'), (5, 'plain')) AS t(id, prompt)"""
-
-
-def fim_dialects(spark, d):
-    """Four infill dialects in one form; other prompts have none."""
-    p = F.col("prompt")
-    forms = [(r"(?s)^<\|?fim_prefix\|?>(.*)<\|?fim_suffix\|?>(.*)<\|?fim_middle\|?>$", 1, 2), (r"(?s)^<PRE> (.*) <SUF>(.*) <MID>$", 1, 2), (r"(?s)^\[SUFFIX\](.*)\[PREFIX\](.*)$", 2, 1)]
-    get = lambda k: F.coalesce(*(F.when(p.rlike(rx), F.regexp_extract(p, rx, (a, b)[k])) for rx, a, b in forms))
-    return values(spark, DIALECTS).select("id", get(0).alias("prefix"), get(1).alias("suffix"))
-
-
-COMPLETIONS = r"""SELECT * FROM (VALUES (1, '  return 1\n\nprint(2)\n'), (2, '  a\n  b'), (3, 'x'), (4, '  y\ndef z():\n  w')) AS t(id, body)"""
-BRACED = r"""SELECT * FROM (VALUES (1, ' return 1; }\nrest'), (2, ' if (a) { b; } }x'), (3, ' s = \"}\"; // }\n}z'), (4, ' open {'), (5, ' /* } */ } y')) AS t(id, body)"""
-
-
-def truncate_completion(spark, d):
-    return values(spark, COMPLETIONS).select("id", X.cut_at_column_zero(F.col("body")).alias("body"))
-
-
-def truncate_braces(spark, d):
-    return values(spark, BRACED).select("id", X.cut_at_brace(F.col("body")).alias("body"))
-
-
 def chunking(spark, d):
     """Chunks of 2,000 characters, one row each."""
     r = records(spark, d).select("ord", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / 2000).cast("int")))).alias("i"))
@@ -153,7 +117,7 @@ def event_props(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
 
 
-_FUNCS = (fim_line, fim_random, fim_encode, block_holes, python_syntax, label_mask, packing_stats, sft_build, chat_render, prompt_template, fim_dialects, truncate_completion, truncate_braces, chunking, strip_boilerplate, slugs, repetition, lr_schedule, window_sample, event_props)
+_FUNCS = (fim_line, fim_random, fim_encode, label_mask, packing_stats, sft_build, chat_render, prompt_template, chunking, strip_boilerplate, slugs, repetition, lr_schedule, window_sample, event_props)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _dr = lambda seed, k, key="doc_id": fraction_sql(f"sha256('{seed}:' || {key} || ':{k}')")
 _hole = lambda seed, i, j: f"""h AS (SELECT *, 1 + floor({_dr(seed, i)} * (length(text) - 1))::INT AS x, 1 + floor({_dr(seed, j)} * (length(text) - 2))::INT AS y0 FROM documents WHERE length(text) >= 8),
@@ -173,10 +137,6 @@ SQL = {
     "sft_build": f"WITH p AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS by_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), n AS (SELECT conv_id, turn, len({_ws})::BIGINT AS prompt, len({_ws.replace('text', 'answer')})::BIGINT AS a FROM p WHERE role = 'user' AND by_role = 'assistant') SELECT conv_id, turn, prompt, least(200, prompt + a) AS total FROM n WHERE prompt < 150",
     "chat_render": "SELECT conv_id, sha256(string_agg('<|' || role || '|>' || text || '<|end|>', chr(10) ORDER BY turn)) AS transcript FROM conversations GROUP BY 1",
     "prompt_template": f"SELECT id, '### Instruction:' || chr(10) || instruction || CASE WHEN trim(given) <> '' THEN chr(10) || '### Input:' || chr(10) || given ELSE '' END || chr(10) || '### Response:' || chr(10) AS prompt FROM ({ASKS})",
-    "fim_dialects": "SELECT * FROM (VALUES (1, 'a', 'b'), (2, 'c', 'd'), (3, 'e', 'f'), (4, 'g', 'h'), (5, NULL, NULL)) AS t(id, prefix, suffix)",
-    "truncate_completion": "SELECT * FROM (VALUES (1, '  return 1' || chr(10)), (2, '  a' || chr(10) || '  b'), (3, 'x'), (4, '  y')) AS t(id, body)",
-    "truncate_braces": "SELECT * FROM (VALUES (1, ' return 1; }'), (2, ' if (a) { b; } }'), (3, ' s = \"}\"; // }' || chr(10) || '}'), (4, ' open {'), (5, ' /* } */ }')) AS t(id, body)",
-    "python_syntax": "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, true), (6, false)) AS t(id, parses)",
     "chunking": "WITH c AS (SELECT doc_id, text, unnest(range(greatest(0, (length(text) - 1) // 2000) + 1)) AS chunk FROM documents) SELECT doc_id, chunk, md5(substr(text, chunk * 2000 + 1, 2000)) AS digest FROM c",
     "strip_boilerplate": "WITH b AS (SELECT page_id, regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) AS b FROM pages) SELECT page_id, length(b) AS body_chars, length(regexp_replace(b, '<[^>]*>', '', 'g')) AS text_chars FROM b",
     "slugs": r"SELECT item_id, substr(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS slug FROM benchmark",

@@ -11,50 +11,6 @@ from ..operators import examples as X
 from ..operators import select as S
 from .fixtures import RECORDS, counted, records, squeeze_sql, table, values
 
-LANGS = "SELECT * FROM (VALUES ('c_cpp', 'a/b.hpp'), ('c_cpp', 'x.c'), ('python', 'p.py'), ('shell', 's.sh'), ('java_kotlin', 'K.kt'), ('rust', 'm.rs'), ('c_cpp', 'y.CC'), ('other', 'z.rb')) AS t(language, path)"
-
-
-def curriculum_language(spark, d):
-    """C and C++ parted by suffix; languages outside the curriculum are null."""
-    cpp = F.lower("path").rlike(r"\.(cc|cpp|cxx|c\+\+|hh|hpp|hxx)$")
-    lang = F.when((F.col("language") == "c_cpp") & cpp, "cpp").when(F.col("language") == "c_cpp", "c").when(F.col("language").isin("python", "javascript", "typescript", "rust", "go"), F.col("language"))
-    return values(spark, LANGS).select("path", lang.alias("language"))
-
-
-BUCKETS = "SELECT * FROM (VALUES ('Markdown'), ('JSON'), ('YAML'), ('Python'), ('reStructuredText'), ('CSS'), ('Rust'), ('Brainf')) AS t(name)"
-
-
-def stream_bucket(spark, d):
-    """The (category, language) of a dataset's language folder."""
-    low = F.lower("name")
-    cat = F.when(low.isin("markdown", "restructuredtext", "text"), "documentation").when(low.isin("json", "yaml", "css", "html", "sql", "toml", "xml"), "structured").otherwise("code")
-    lang = F.when(cat == "documentation", "english").when(low.isin("python", "rust", "go", "javascript", "typescript"), low).otherwise("other")
-    return values(spark, BUCKETS).select("name", cat.alias("category"), lang.alias("language"))
-
-
-ANSWERS = r"""SELECT * FROM (VALUES (1, 'Do it', '```python\nx = 1\n```'), (2, 'Two', '```a```\n```b```'), (3, 'None', ''), (4, 'Plain', 'x = 2'), (5, 'Bad', '```python\ndef (\n```'), (6, 'Long', '```python\nx = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]\n```')) AS t(id, prompt, answer)"""
-
-
-def sft_accept(spark, d):
-    """An ordered cascade: empty, several blocks, unparseable, too long, kept; the single block alone is the answer."""
-    a = values(spark, ANSWERS)
-    fences = F.size(F.split("answer", "```", -1)) - 1
-    code = F.when(fences >= 2, F.regexp_replace(F.element_at(F.split("answer", "```", -1), 2), r"^[a-z]*\n", "")).otherwise(F.col("answer"))
-    r = a.withColumns({"fences": fences, "code": code})
-    why = F.when(F.trim("code") == "", "empty").when(F.col("fences") > 2, "multi_block").when(~F.col("ok"), "unparseable").when(F.col("n") > 20, "response_too_long").otherwise("kept")
-    return r.withColumns({"ok": X.parses(F.col("code")), "n": T.pretokens(F.col("code"))}).select("id", why.alias("verdict"))
-
-
-IMPORTS = r"""SELECT * FROM (VALUES (1, 'import math\nfrom json import loads\n'), (2, 'import os\n'), (3, 'x = 1'), (4, 'import random, sys\n'), (5, 'import math\nopen("f")\n'), (6, 'from collections.abc import Iterable\neval("1")')) AS t(id, code)"""
-
-
-def safe_imports(spark, d):
-    """Whether all imported roots are on the allowed list, and whether an unsafe call stands in the text."""
-    found = F.regexp_extract_all("code", F.lit(r"(?m)^\s*(?:import|from)\s+([\w., ]+)"), 1)
-    roots = F.transform(F.flatten(F.transform(found, lambda x: F.split(F.regexp_replace(x, r"\s+import\s.*$", ""), r"\s*,\s*"))), lambda x: F.split_part(F.trim(x), F.lit("."), F.lit(1)))
-    ok = F.forall(roots, lambda x: x.isin("math", "json", "random", "re", "string", "itertools", "collections", "functools"))
-    return values(spark, IMPORTS).select("id", ok.alias("allowed"), F.col("code").rlike(r"\b(eval|exec|open|compile|__import__)\s*\(").alias("unsafe"))
-
 
 def replay_strip(spark, d):
     r = values(spark, "SELECT * FROM (VALUES ('a/b/replay-3'), ('a/replay-x'), ('replay-1'), ('c/replay-12')) AS t(repository)")
@@ -79,25 +35,6 @@ def suffix_stop(spark, d):
     return r.select(F.col("ord").alias("doc_id"), F.try_element_at(substantial, F.lit(1)).alias("stop"))
 
 
-TABS = r"""SELECT * FROM (VALUES (1, '\tx\n\t\ty\n  z\tw'), (2, ''), (3, 'a\n\t')) AS t(id, code)"""
-
-
-def tab_expand(spark, d):
-    """Leading tabs as four blanks each; others stay."""
-    lead = lambda x: F.length(F.regexp_extract(x, "^(\t*)", 1))
-    return values(spark, TABS).select("id", F.array_join(F.transform(F.split("code", "\n", -1), lambda x: F.concat(F.repeat(F.lit("    "), lead(x)), F.regexp_replace(x, "^\t+", ""))), "\n").alias("code"))
-
-
-LOGS = r"""SELECT * FROM (VALUES (1, 'ok\n', 0), (2, 'x\nSyntaxError: bad', 1), (3, 'Traceback\nValueError: v', 1), (4, '', 124), (5, 'AssertionError', 1), (6, 'warning: x\nerror: y', 2)) AS t(id, output, code)"""
-
-
-def verdict_lines(spark, d):
-    """A run's verdict from its exit code and the first line that tells."""
-    has = lambda *p: F.exists(F.split("output", "\n", -1), lambda x: x.rlike("^(" + "|".join(p) + ")"))
-    v = F.when(F.col("code") == 124, "timeout").when(F.col("code") == 0, "pass").when(has("SyntaxError", "error:"), "syntax").when(has("AssertionError"), "fail").otherwise("runtime")
-    return values(spark, LOGS).select("id", v.alias("verdict"))
-
-
 def smoke_fractions(spark, d):
     """Shares of conversations' turns that end with a full stop, are short, and are the assistant's."""
     c = table(spark, d, "conversations")
@@ -105,15 +42,6 @@ def smoke_fractions(spark, d):
     return c.groupBy("role").agg(F.count("*").alias("turns"), share(F.col("text").endswith(".")).alias("stopped"), share(F.length("text") < 200).alias("short"))
 
 
-def smoke_balance(spark, d):
-    """A total of 12 over shares, then one moved from the largest donor to each that got none."""
-    shares = values(spark, "SELECT * FROM (VALUES ('a', 0.7D, 0), ('b', 0.25D, 1), ('c', 0.03D, 2), ('d', 0.02D, 3)) AS t(name, share, rank)")
-    a = S.largest_remainder(shares, 12)
-    none = F.count_if(F.col("allocated") == 0).over(Window.partitionBy())
-    donor = F.row_number().over(Window.orderBy(F.desc("allocated"), "rank")) == 1
-    return a.select("name", F.when(F.col("allocated") == 0, 1).otherwise(F.col("allocated") - F.when(donor, none).otherwise(0)).cast("long").alias("allocated"))
-
-
 def round_robin(spark, d):
     """English and code drawn in batches of 16 so that the English share stays near 0.3: a fold over the batches' counts."""
     r = counted(records(spark, d)).select("ord", "tokens", (F.col("category") == "english").alias("eng"))
@@ -157,20 +85,13 @@ def task_digest(spark, d):
     return b.select("item_id", T.sha(F.concat_ws("\n", F.lit("v1"), T.normal(F.col("text")), T.slug(F.col("text")))).alias("digest"))
 
 
-_FUNCS = (curriculum_language, stream_bucket, sft_accept, safe_imports, replay_strip, name_fallback, suffix_stop, tab_expand, verdict_lines, smoke_fractions, smoke_balance, round_robin, frame_budget, synthetic_rows, task_digest)
+_FUNCS = (replay_strip, name_fallback, suffix_stop, smoke_fractions, round_robin, frame_budget, synthetic_rows, task_digest)
 QUERIES = {f.__name__: f for f in _FUNCS}
 SQL = {
-    "curriculum_language": f"SELECT path, CASE WHEN language = 'c_cpp' AND regexp_matches(lower(path), '\\.(cc|cpp|cxx|c\\+\\+|hh|hpp|hxx)$') THEN 'cpp' WHEN language = 'c_cpp' THEN 'c' WHEN language IN ('python', 'javascript', 'typescript', 'rust', 'go') THEN language END AS language FROM ({LANGS})",
-    "stream_bucket": "SELECT * FROM (VALUES ('Markdown', 'documentation', 'english'), ('JSON', 'structured', 'other'), ('YAML', 'structured', 'other'), ('Python', 'code', 'python'), ('reStructuredText', 'documentation', 'english'), ('CSS', 'structured', 'other'), ('Rust', 'code', 'rust'), ('Brainf', 'code', 'other')) AS t(name, category, language)",
-    "sft_accept": "SELECT * FROM (VALUES (1, 'kept'), (2, 'multi_block'), (3, 'empty'), (4, 'kept'), (5, 'unparseable'), (6, 'response_too_long')) AS t(id, verdict)",
-    "safe_imports": "SELECT * FROM (VALUES (1, true, false), (2, false, false), (3, true, false), (4, false, false), (5, true, true), (6, true, true)) AS t(id, allowed, \"unsafe\")",
     "replay_strip": "SELECT repository, regexp_replace(repository, '/replay-[0-9]+$', '') AS base FROM (VALUES ('a/b/replay-3'), ('a/replay-x'), ('replay-1'), ('c/replay-12')) AS t(repository)",
     "name_fallback": f"SELECT w.name, coalesce(a.id, b.id, 0) AS id FROM ({WANTED}) w LEFT JOIN ({MODELS}) a ON w.name = a.name LEFT JOIN ({MODELS}) b ON split_part(w.name, ':', 1) = b.name",
     "suffix_stop": "SELECT doc_id, [x FOR x IN [trim(y, ' ') FOR y IN string_split(text, chr(10))] IF length(x) >= 4][1] AS stop FROM documents",
-    "tab_expand": "SELECT * FROM (VALUES (1, '    x' || chr(10) || '        y' || chr(10) || '  z' || chr(9) || 'w'), (2, ''), (3, 'a' || chr(10) || '    ')) AS t(id, code)",
-    "verdict_lines": "SELECT * FROM (VALUES (1, 'pass'), (2, 'syntax'), (3, 'runtime'), (4, 'timeout'), (5, 'fail'), (6, 'syntax')) AS t(id, verdict)",
     "smoke_fractions": "SELECT role, count(*) AS turns, avg((text LIKE '%.')::INT) AS stopped, avg((length(text) < 200)::INT) AS short FROM conversations GROUP BY 1",
-    "smoke_balance": "SELECT name, allocated::BIGINT AS allocated FROM (VALUES ('a', 7), ('b', 3), ('c', 1), ('d', 1)) AS t(name, allocated)",
     "frame_budget": f"WITH {RECORDS} SELECT ord AS doc_id, 506 - len(string_split_regex(repository, '[ /]')) - len(string_split_regex(path, '[ /]')) AS budget, '<|repo|>' || repository || '<|file|>' || path AS head FROM rec",
     "synthetic_rows": "SELECT id, array_to_string([('0x' || substr(md5(id || ':' || j), 1, 8))::BIGINT % 1000 FOR j IN range(16)], ' ') AS ids FROM range(100) t(id)",
     "task_digest": rf"SELECT item_id, sha256(concat_ws(chr(10), 'v1', lower({squeeze_sql('text')}), substr(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80))) AS digest FROM benchmark",

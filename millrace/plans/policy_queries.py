@@ -83,16 +83,6 @@ def provenance_fallback(spark, d):
 
 TEST_PATH = r"(?i)((^|/)(tests?|specs?|__tests__)(/|_))|((_test|\.test|\.spec)\.[^/]+$)"
 TEST_TEXT = r"\bdescribe\s*\(|\bit\s*\(|\btest\s*\(|\bassert(_eq)?[!(]|#\[test\]|\bfunc\s+Test[A-Z]|\bTEST(_F)?\s*\("
-TESTED = """SELECT * FROM (VALUES ('r1', 'tests/a.py', 'x'), ('r1', 'src/b.py', 'y = 1'), ('r2', 'a_test.go', 'z'), ('r2', 'm.go', 'func TestX()'), ('r3', 'a.rs', 'assert_eq!(1, 1)'),
-  ('r3', 'b.rs', 'fn main'), ('r4', 'c.js', 'describe (x)'), ('r5', 'latest/a.c', 'int x;'), ('r6', 'd.spec.ts', '')) AS t(repository, path, text)"""
-
-
-def curriculum_keys(spark, d):
-    """Test files, companions in repositories that have tests, and the rest: a flag by a distinct-repository join."""
-    r = values(spark, TESTED).withColumn("is_test", F.col("path").rlike(TEST_PATH) | F.substring("text", 1, 20_000).rlike(TEST_TEXT))
-    repos = r.where("is_test").select("repository", F.lit(True).alias("has")).distinct()
-    key = F.when(F.col("is_test"), "test_code").when(F.col("has"), "companion_code").otherwise("code")
-    return r.join(repos, "repository", "left").select("repository", "path", "is_test", key.alias("curriculum_key"))
 
 
 def hash_sample(spark, d):
@@ -119,26 +109,7 @@ def length_filters(spark, d):
     return r.select(F.col("ord").alias("doc_id"), ((F.length("text") > 1_000_000) | (longest > 1000)).alias("junk"))
 
 
-SCRIPTS = """SELECT * FROM (VALUES (1, 5, 'push(1)', 'push(1)'), (2, 40, 'x = [[1, 2, 3, 4, 5, 6, 7, 8, 9]]', 'a'), (3, 40, 'y = "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz"', 'b'),
-  (4, 40, 'x = 1', 'c'), (5, 40, 'func f', 'func f'), (6, 40, 'func   f', 'func   f'), (7, 40, 'while x [a]b]{', 'd'), (8, 30, 'Func f', 'e')) AS t(id, tokens, code, other)"""
-LOGIC = r"(?m)^\s*(func|cond|loop|while|for|repeat)\b|\bpush\s*\("
-
-
-def program_filter(spark, d):
-    """Ordered rules for programs, then dedup of what passed by squeezed text, first id first."""
-    r = values(spark, SCRIPTS)
-    why = F.when(F.col("tokens") < 12, "too small").when(T.bracket_fraction(F.col("code")) > 0.5, "data blob").when(F.col("code").rlike('"[^"]{40,}"'), "giant string literal").when(~F.col("code").rlike(LOGIC), "no logic")
-    judged = r.withColumn("why", why)
-    win = judged.where("why IS NULL").groupBy(T.squeeze(F.col("code")).alias("k")).agg(F.min("id").alias("first"))
-    j = judged.join(win.select("first"), judged["id"] == F.col("first"), "left")
-    return j.select("id", F.when(F.col("why").isNull() & F.col("first").isNull(), "duplicate output").otherwise(F.coalesce("why", F.lit("kept"))).alias("verdict"))
-
-
-def bracket_fraction(spark, d):
-    return values(spark, SCRIPTS).select("id", T.bracket_fraction(F.col("code")).alias("fraction"))
-
-
-QUERIES = {f.__name__: f for f in (policy_reasons, policy_report, classify_path, language_names, license_aliases, provenance_fallback, curriculum_keys, hash_sample, repo_split, content_split, length_filters, program_filter, bracket_fraction)}
+QUERIES = {f.__name__: f for f in (policy_reasons, policy_report, classify_path, language_names, license_aliases, provenance_fallback, hash_sample, repo_split, content_split, length_filters, )}
 _duck = lambda q: q.replace("AS STRING", "AS VARCHAR").replace("array(", "list_value(")
 _LIC = f"""(SELECT CASE WHEN len(n) > 0 AND len([x FOR x IN n IF x NOT IN {_in(P.ALLOWED)}]) = 0 THEN list_min(n) END FROM (SELECT [CASE lower(v) {" ".join(f"WHEN '{x.lower()}' THEN '{x}'" for x in P.ALLOWED)} WHEN 'apache-2' THEN 'Apache-2.0' ELSE v END FOR v IN ARG IF v <> ''] AS n))"""
 SQL = {
@@ -155,15 +126,9 @@ SQL = {
     "language_names": _duck(f"SELECT name, {_LANG_CASE("replace(replace(lower(trim(coalesce(name, 'other'))), ' ', '_'), '-', '_')")} AS language FROM ({NAMES})"),
     "license_aliases": _duck(f"SELECT id, {_LIC.replace('ARG', 'names')} AS license FROM ({LICENSES})"),
     "provenance_fallback": _duck(f"SELECT id, coalesce(a, b, c) AS license, CASE WHEN a IS NOT NULL THEN repo WHEN b IS NOT NULL THEN stars_repo WHEN c IS NOT NULL THEN hexsha END AS repository FROM (SELECT *, {_LIC.replace('ARG', 'direct')} AS a, {_LIC.replace('ARG', 'stars')} AS b, {_LIC.replace('ARG', 'forks')} AS c FROM ({STACK}))"),
-    "curriculum_keys": f"""WITH r AS (SELECT *, regexp_matches(path, '{TEST_PATH}') OR regexp_matches(substr(text, 1, 20000), '{TEST_TEXT}') AS is_test FROM ({TESTED}))
- SELECT repository, path, is_test, CASE WHEN is_test THEN 'test_code' WHEN repository IN (SELECT repository FROM r WHERE is_test) THEN 'companion_code' ELSE 'code' END AS curriculum_key FROM r""",
     "hash_sample": f"""WITH {RECORDS}, p AS (SELECT *, sha256(concat_ws(chr(10), '7', repository, path, sha256({squeeze_sql("text")}), 'v1')) AS priority FROM rec)
  SELECT ord AS doc_id, source, priority FROM p WHERE {fraction_sql("priority")} < CASE WHEN source IN ('src0', 'src1') THEN 0.5 ELSE 0.1 END""",
     "repo_split": f"WITH {RECORDS} SELECT repository, {fraction_sql("sha256('17:' || repository)")} < 0.2 AS validation, count(*) AS docs, sum(bytes)::BIGINT AS bytes FROM rec GROUP BY ALL",
     "content_split": "SELECT doc_id, ('0x' || substr(sha256(text), 1, 15))::BIGINT % 10000 < 500 AS validation FROM documents",
     "length_filters": "SELECT doc_id, length(text) > 1000000 OR coalesce(list_max([length(x) FOR x IN string_split(text, chr(10))]), 0) > 1000 AS junk FROM documents",
-    "bracket_fraction": f"""WITH RECURSIVE t AS ({SCRIPTS}), s AS (SELECT id, code, 0 AS i, 0 AS depth, 0 AS inside FROM t UNION ALL
- SELECT id, code, i + 1, CASE WHEN c IN ('[', '{{') THEN depth + 1 WHEN c IN (']', '}}') THEN greatest(0, depth - 1) ELSE depth END, inside + (c NOT IN ('[', '{{', ']', '}}') AND depth > 0)::INT
- FROM (SELECT *, substr(code, i + 1, 1) AS c FROM s WHERE i < length(code))) SELECT id, inside / greatest(1, length(code)) AS fraction FROM s WHERE i = length(code)""",
-    "program_filter": "SELECT * FROM (VALUES (1, 'too small'), (2, 'data blob'), (3, 'giant string literal'), (4, 'no logic'), (5, 'kept'), (6, 'duplicate output'), (7, 'kept'), (8, 'no logic')) AS t(id, verdict)",
 }

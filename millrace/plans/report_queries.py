@@ -108,26 +108,6 @@ def bakeoff_summary(spark, d):
     return b.groupBy("model").agg(n.alias("eligible"), F.try_divide(ok, n).alias("pass_rate"), F.avg(F.col("structured").cast("int")).alias("structured_rate"), F.avg("tps").alias("mean_tps"))
 
 
-FEATURES = """SELECT * FROM (VALUES (1, array('f', 'g')), (2, array('f')), (3, array('g', 'h')), (4, array('h')), (5, array('f', 'g')), (6, array('k', 'f', 'h')), (7, array()), (8, array('g'))) AS t(id, needs)"""
-
-
-def feature_unlock(spark, d):
-    """Per feature: in how many files it stands, and how many it would unlock alone."""
-    f = values(spark, FEATURES).select("id", F.explode("needs").alias("feature"), (F.size("needs") == 1).alias("alone"))
-    return f.groupBy("feature").agg(F.count("*").alias("appears"), F.count_if("alone").alias("unlocks"))
-
-
-def blocked_split(spark, d):
-    f = values(spark, FEATURES)
-    hard = F.arrays_overlap("needs", F.array(F.lit("k")))
-    return f.agg(F.count_if(F.size("needs") == 0).alias("clean"), F.count_if(hard).alias("blocked"), F.count_if((F.size("needs") > 0) & ~hard).alias("fixable"))
-
-
-def greedy_cover(spark, d):
-    """The order in which features unlock most files, three of them; ties by name."""
-    return R.greedy_cover(values(spark, FEATURES), "needs", 3)
-
-
 def uniqueness(spark, d):
     """Ids that must be unique and are: pages by url, embeddings by id, conversation turns."""
     one = lambda df, what, *c: df.agg(F.lit(what).alias("what"), F.count("*").alias("rows"), F.count_distinct(*c).alias("keys"))
@@ -159,11 +139,10 @@ def resume_counts(spark, d):
     return all_.join(done, "task", "left").select("task", F.greatest(F.lit(0), F.lit(10) - F.coalesce("done", F.lit(0))).cast("long").alias("todo"))
 
 
-_FUNCS = (corpus_report, rejection_histogram, grouping_sets_totals, fill_gate, curriculum_audit, tokenizer_efficiency, reason_shares, pass_at_k, suite_score, task_pass, capability_summary, bakeoff_summary, feature_unlock, blocked_split, greedy_cover, uniqueness, verdict_histogram, bits_per_byte, plateau, resume_counts)
+_FUNCS = (corpus_report, rejection_histogram, grouping_sets_totals, fill_gate, curriculum_audit, tokenizer_efficiency, reason_shares, pass_at_k, suite_score, task_pass, capability_summary, bakeoff_summary, uniqueness, verdict_histogram, bits_per_byte, plateau, resume_counts)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _OUT = "o AS (SELECT l.doc_id, source AS task, lang AS category, quality = 1 AS functional, toxic = 0 AS syntax FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 _pass = lambda k: f"round(CASE WHEN n < {k} THEN 'NaN'::DOUBLE WHEN n - c < {k} THEN 1.0 ELSE 1 - list_product([(1 - {k} / i::DOUBLE) FOR i IN range(n - c + 1, n + 1)]) END, 9) AS pass_{k}"
-_fe = FEATURES.replace("array(", "list_value(")
 SQL = {
     "corpus_report": f"""WITH {RECORDS}, t AS (SELECT * FROM (VALUES ('code', 800000), ('documentation', 700000), ('english', 900000), ('tool', 1000)) AS t(category, target)),
  a AS (SELECT t.category, target::BIGINT AS target, count(ord) AS docs, coalesce(sum(bytes), 0)::BIGINT AS bytes, count(DISTINCT repository) AS repositories FROM t LEFT JOIN rec USING (category) GROUP BY ALL)
@@ -182,9 +161,6 @@ SQL = {
     "task_pass": f"WITH {_OUT} SELECT task, bool_or(functional) AS any_pass, arg_min(functional, doc_id) AS first_pass FROM o GROUP BY 1",
     "capability_summary": f"WITH {_OUT} SELECT category, count(*) AS samples, avg(syntax::INT) AS syntax_rate, avg(functional::INT) FILTER (syntax) AS functional_rate FROM o GROUP BY 1",
     "bakeoff_summary": f"WITH t AS ({BAKE.replace('D)', '::DOUBLE)').replace('D,', '::DOUBLE,')}) SELECT model, count(*) FILTER (verdict <> 'toolchain_unavailable') AS eligible, CASE WHEN count(*) FILTER (verdict <> 'toolchain_unavailable') > 0 THEN count(*) FILTER (verdict = 'pass') / count(*) FILTER (verdict <> 'toolchain_unavailable') END AS pass_rate, avg(structured::INT) AS structured_rate, avg(tps) AS mean_tps FROM t GROUP BY 1",
-    "feature_unlock": f"WITH t AS ({_fe}), f AS (SELECT id, unnest(needs) AS feature, len(needs) = 1 AS alone FROM t) SELECT feature, count(*) AS appears, count(*) FILTER (alone) AS unlocks FROM f GROUP BY 1",
-    "blocked_split": f"WITH t AS ({_fe}) SELECT count(*) FILTER (len(needs) = 0) AS clean, count(*) FILTER (list_contains(needs, 'k')) AS blocked, count(*) FILTER (len(needs) > 0 AND NOT list_contains(needs, 'k')) AS fixable FROM t",
-    "greedy_cover": "SELECT * FROM (VALUES (1, 'f', 1), (2, 'g', 4), (3, 'h', 6)) AS t(step, feature, unlocked)",
     "uniqueness": "SELECT 'pages' AS what, count(*) AS rows, count(DISTINCT url) AS keys FROM pages UNION ALL SELECT 'embeddings', count(*), count(DISTINCT vec_id) FROM embeddings UNION ALL SELECT 'turns', count(*), count(DISTINCT (conv_id, turn)) FROM conversations",
     "verdict_histogram": f"WITH {_OUT} SELECT CASE WHEN NOT syntax THEN 'syntax' WHEN functional THEN 'pass' ELSE 'fail' END AS verdict, count(*) AS samples FROM o GROUP BY 1",
     "bits_per_byte": f"WITH {RECORDS}, r AS (SELECT language, sum(tokens)::BIGINT AS tokens, sum(bytes)::BIGINT AS bytes FROM rec GROUP BY 1) SELECT language, round(2.0::DOUBLE * tokens / (ln(2.0::DOUBLE) * bytes), 9) AS bpb FROM r",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import policy as P
 from ..functions import text as X
+from ..operators.select import quota_prefix
 
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "source", "category", "language", "repository", "path", "license")])
 
@@ -67,9 +71,35 @@ def first_text(*columns: str) -> Column:
     return F.coalesce(*(F.when(F.trim(c) != "", F.col(c)) for c in columns))
 
 
-def stack(spark: SparkSession, root: str, languages: list[str], schema: str) -> DataFrame:
-    """A partitioned source with a folder per language; the unwanted ones are never listed."""
-    return spark.read.schema(schema).option("basePath", root).parquet(*(f"{root}/language={x}" for x in languages))
+def stack(spark: SparkSession, root: str, languages: list[str], schema: str, most: int | None = None, order: str = "ord") -> DataFrame:
+    """A partitioned source with a folder per language; the unwanted ones are never listed.
+
+    With `most`, each language stops once its texts so far, in order, have that many bytes; the last one may pass it.
+    `origin` and `written` pin a row's revision: its file and when that was written.
+    """
+    df = with_origin(spark.read.schema(schema).option("basePath", root).parquet(*(f"{root}/language={x}" for x in languages)))
+    if most is None:
+        return df
+    sizes = df.select("language", order, F.octet_length("text").cast("long").alias("_bytes"))
+    return df.join(quota_prefix(sizes, "_bytes", "language", F.lit(most), [order]).select(order), order, "left_semi")
+
+
+def with_origin(df: DataFrame) -> DataFrame:
+    """A scan with the file that each row comes from and the time it was written."""
+    return df.select("*", F.col("_metadata.file_path").alias("origin"), F.col("_metadata.file_modification_time").alias("written"))
+
+
+def token_bin(spark: SparkSession, path: str) -> DataFrame:
+    """(part, ids) of a flat token stream, by the parts that its meta.json names: other files there are of failed tasks."""
+    meta = spark.read.json(f"{path}/meta.json").select(F.explode("parts").alias("part"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.element_at(F.split("path", "/"), -1).alias("part"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["part", "ids"])
+
+    return files.join(meta, "part", "left_semi").mapInArrow(run, "part string, ids array<int>")
 
 
 def generated_transcripts(spark: SparkSession, names: list[str], n: int = 768) -> DataFrame:
@@ -89,8 +119,8 @@ TEMPLATES = {
 
 def generated_exercises(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """Exercises from templates with hash-drawn numbers; row i is the same in every run and at every size."""
-    pick = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(TEMPLATES))).cast("int")
-    a, b = F.pmod(F.xxhash64("id", F.lit(seed), F.lit("a")), F.lit(50)).cast("int"), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit("b")), F.lit(50)) + 50).cast("int")
+    draw = lambda what, n: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{what}"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % n).cast("int")
+    pick, a, b = draw("t", len(TEMPLATES)), draw("a", 50), draw("b", 50) + 50
     cases = [(F.lit(k), F.format_string(q, a, b), F.format_string(c, a, b)) for k, (q, c) in TEMPLATES.items()]
     rows = F.array(*(F.struct(k.alias("template"), q.alias("prompt"), c.alias("solution")) for k, q, c in cases))
     return spark.range(n).withColumn("r", F.element_at(rows, pick + 1)).select("id", "r.*")

@@ -44,9 +44,12 @@ class TokenWriter(DataSourceArrowWriter):
         name = f"part-{part:05d}-{uuid.uuid4().hex}.{self.kind}"
         rows = ids = 0
         held: list[np.ndarray] = []
+        labels: list[np.ndarray] = []
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             for b in iterator:
                 col = b.column(b.schema.get_field_index("ids"))
+                if "labels" in b.schema.names:
+                    labels += [np.asarray(x.values, dtype=np.int32) for x in b.column(b.schema.get_field_index("labels"))]
                 for x in col:
                     v = np.asarray(x.values if x.is_valid else [], dtype=np.int64)
                     if self.kind == "bin" and len(v) and (v.max() > 65535 or v.min() < 0):
@@ -60,7 +63,8 @@ class TokenWriter(DataSourceArrowWriter):
                         held.append(v)
             if self.kind == "npz":
                 buf = io.BytesIO()
-                np.savez_compressed(buf, input_ids=np.stack(held).astype(np.uint16) if held else np.zeros((0, 0), np.uint16))
+                dense = lambda rows, kind: np.stack(rows).astype(kind) if rows else np.zeros((0, 0), kind)
+                np.savez_compressed(buf, input_ids=dense(held, np.uint16), **({"labels": dense(labels, np.int32)} if labels else {}))
                 out.write(buf.getvalue())
         return _Commit(name, rows, ids)
 
@@ -92,7 +96,7 @@ class TokenBin(DataSource):
 
 
 class TokenNpz(TokenBin):
-    """Format "token_npz": rows of one length as a dense matrix per part."""
+    """Format "token_npz": rows of one length as a dense matrix per part, and their labels as another if there are any."""
 
     @classmethod
     def name(cls) -> str:
@@ -102,6 +106,22 @@ class TokenNpz(TokenBin):
         return TokenWriter(self.options, "npz")
 
 
+def files(df: DataFrame, root: str, path: str = "path", text: str = "text") -> int:
+    """Each row's text as a file of a tree; the number of files. Tasks write under the final names: the same row writes the same file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _fs(root)
+        for b in batches:
+            for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = f"{base}/{name}"
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at, compression=None) as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return df.select(path, text).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def register(spark) -> None:
     spark.dataSource.register(TokenBin)
     spark.dataSource.register(TokenNpz)

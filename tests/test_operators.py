@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import dedup, examples, guard, select
-from millrace.plans import catalog, dedup_queries, example_queries, select_queries
+from millrace.operators import dedup, examples, gates, guard, select
+from millrace.plans import catalog, dedup_queries, select_queries
 from millrace.shipping import ship
 from millrace.sources import readers, sinks
 from millrace.streaming import collect
@@ -56,8 +56,10 @@ def test_pool_select_has_no_text_twice(spark, small):
 
 
 def test_next_fit(spark):
-    x = spark.createDataFrame([([5, 4, 3, 8, 2, 9],)], "x array<bigint>").select(select.next_fit(F.col("x"), 10)).first()[0]
-    assert x == [0, 0, 1, 2, 2, 3]
+    ship(spark)
+    df = spark.createDataFrame([(g, i, n) for g in "ab" for i, n in enumerate([5, 4, 3, 8, 2, 9])], "g string, i long, n long")
+    got = select.next_fit(df, "g", "i", "n", 10).orderBy("g", "i").collect()
+    assert [r["row"] for r in got] == 2 * [0, 0, 1, 2, 2, 3]
 
 
 def test_interleave_is_the_greedy_choice(spark):
@@ -85,17 +87,54 @@ def test_guard_rules_fire_in_order(spark, small):
     assert briefs[1] == "evaluation_entry_point" and briefs[8] == "evaluation_semantic_near_duplicate" and briefs[9] is None
 
 
-def test_fingerprint_sees_shape_not_names(spark, small):
-    f = dict(rows(dedup_queries.structural_fingerprint(spark, small)))
+def test_fingerprint_sees_shape_not_names(spark):
+    f = dict(rows(spark.sql(guard.SNIPPETS).select("id", guard.fingerprint(F.col("language"), F.col("code")))))
     assert f[1] == f[2] and f[4] == f[5] and len({f[1], f[3], f[4], f[6]}) == 4
 
 
-def test_block_holes_give_the_text_again(spark, small):
-    ship(spark)
-    code = {r.id: r.code for r in spark.sql(example_queries.PROGRAMS).collect()}
-    got = {r.id: r for r in example_queries.block_holes(spark, small).collect()}
-    assert got[1].middle == "def f(x):\n    y = x\n    return y\n\n" and got[2].middle.endswith("};\n") and got[3].middle is None
-    assert all(r.prefix + r.middle + r.suffix == code[i] for i, r in got.items() if r.middle is not None)
+@pytest.mark.parametrize(
+    "code,at,middle",
+    [
+        ("import os\n\ndef f(x):\n    y = x\n\n    return y\n\nz = 1\n", 0.0, "def f(x):\n    y = x\n\n    return y\n\n"),
+        ("const a = (b) => {\n  if (b) {\n    return 1;\n  }\n};\nlet c;\n", 0.0, "const a = (b) => {\n  if (b) {\n    return 1;\n  }\n};\n"),
+        ("class A:\n  def m(self):\n    pass\n  x = 1\n", 0.9, "  def m(self):\n    pass\n"),
+        ("function f()\n{\n  g();\n}\nfunction h() {\n}\n", 0.0, "function f()\n{\n  g();\n}\n"),
+        ("function one() { return 1; }\nx\n", 0.0, "function one() { return 1; }\nx\n"),
+        ("x = 1\n", 0.0, None),
+        ("def alone(): pass", 0.0, None),
+    ],
+)
+def test_blocks(code, at, middle):
+    got = examples.cut_block(code, at)
+    assert (got and got[1]) == middle and (got is None or "".join(got) == code)
+
+
+def test_completions_end_where_their_body_does(spark):
+    r = spark.createDataFrame([("  return 1\n\nprint(2)\n", " s = \"}\"; // }\n}z"), ("  a\n  b", " if (a) { b; } }x"), ("  y\ndef z():\n  w", " open {")], "a string, b string")
+    got = r.select(examples.cut_at_column_zero(F.col("a")), examples.cut_at_brace(F.col("b")), examples.until(F.col("a"), ["print", "b", "()"])).collect()
+    assert [tuple(x) for x in got] == [("  return 1\n", " s = \"}\"; // }\n}", "  return 1\n\n"), ("  a\n  b", " if (a) { b; } }", "  a\n  "), ("  y", " open {", "  y\ndef z")]
+
+
+def test_gates_stop_a_run(spark):
+    gates.shares({"a": 0.25, "b": 0.75}, ["a", "b"])
+    gates.lineage({"output": "x", "tasks": 36}, "x", 36)
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2, "x")], "k int, v string")
+    state = {"signature": gates.signature({"seed": 1, "rate": 0.5})}
+    gates.same_run(state, {"rate": 0.5, "seed": 1})
+    assert gates.required_join(a.where("k = 2"), b, "k").count() == 1 and gates.drop_share(100, 5, 0.05) == 0.05
+    for bad in (
+        lambda: gates.shares({"a": 0.25, "b": 0.7}),
+        lambda: gates.shares({"a": 1.0}, ["a", "b"]),
+        lambda: gates.lineage({"output": "y", "tasks": 36}, "x", 36),
+        lambda: gates.lineage({"output": "x", "tasks": 35}, "x", 36),
+        lambda: gates.disjoint(a, b, "k"),
+        lambda: gates.required_join(a, b, "k"),
+        lambda: gates.drop_share(100, 6, 0.05),
+        lambda: gates.canary(lambda x: x, a, [(1,)]),
+        lambda: gates.same_run(state, {"rate": 0.5, "seed": 2}),
+    ):
+        with pytest.raises(gates.GateError):
+            bad()
 
 
 def test_shifted_labels(spark):
@@ -154,6 +193,11 @@ def test_token_sinks(spark, tmp_path):
     df.write.format("token_npz").mode("append").option("path", str(tmp_path / "npz")).save()
     part = json.loads((tmp_path / "npz/meta.json").read_text())["parts"]
     assert sum(len(np.load(tmp_path / "npz" / p)["input_ids"]) for p in part) == 2
+    assert sorted(x for r in readers.token_bin(spark, str(tmp_path / "bin")).collect() for x in r.ids) == sorted(flat.tolist())
+    both = spark.createDataFrame([([1, 2], [2, -100])], "ids array<int>, labels array<int>").coalesce(1)
+    both.write.format("token_npz").mode("append").option("path", str(tmp_path / "sft")).save()
+    part = json.loads((tmp_path / "sft/meta.json").read_text())["parts"]
+    assert [np.load(tmp_path / "sft" / p)["labels"].tolist() for p in part if len(np.load(tmp_path / "sft" / p)["input_ids"])] == [[[2, -100]]]
 
 
 def test_collection_resumes_and_stops(spark, small, tmp_path):
