@@ -83,14 +83,14 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", si
     first = per.groupBy("_h", "_h2").agg(F.min("_f").alias("_f"), F.sum("_w").alias("_w"), F.count("*").alias("_n")).where(F.col("_n") >= min_sites).select(line.alias("_key"), "_f", "_w")
     first = cut(first, "line-first")
     gone = skew_lookup(hits.select(line.alias("_key"), "_d", "_t", "_pos"), first, "_key", "_w", "inner").where(~at.eqNullSafe(F.col("_f")))
-    return cut(gone.groupBy("_d", "_t").agg(F.collect_set("_pos").alias("_gone")), "line-removals", hits, first)
+    return gone.groupBy("_d", "_t").agg(F.collect_set("_pos").alias("_gone"))
 
 
 def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc: str = "doc_id", keep_counts: bool = False) -> DataFrame:
     """docs with boilerplate lines taken out of `text`; with keep_counts also n_lines and n_removed."""
     gone = removals(docs, min_sites, text, site, doc)
     d, t, lost, hashed = (fresh(docs, n) for n in ("_d", "_t", "_gone", "_th"))
-    gone = gone.toDF(d, t, lost)
+    gone = gone.toDF(d, t, lost).hint("merge")  # documents that lose lines are as many as the corpus makes them: never broadcast
     j = docs.withColumn(hashed, F.xxhash64(column(text))).join(gone, column(doc).eqNullSafe(F.col(d)) & (F.col(hashed) == F.col(t)), "left")
     parts = F.split(F.coalesce(column(text).cast("string"), F.lit("")), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
