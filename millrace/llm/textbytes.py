@@ -27,8 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def chunks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, row bounds in them) of runs of rows of about CHUNK bytes. A null is an empty text."""
+def chunks(col: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, row bounds in them) of runs of rows of about `size` bytes. A null is an empty text."""
     col = col.cast(pa.large_string())
     n = len(col)
     if not n:
@@ -40,11 +40,11 @@ def chunks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         lengths = np.where(np.asarray(col.is_valid()), np.diff(bounds), 0)
         if int(np.diff(bounds).sum()) != int(lengths.sum()):  # bytes under a null
             col = col.fill_null("")
-            yield from chunks(col)
+            yield from chunks(col, size)
             return
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + size, side="right")) - 1)
         yield i, j, raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
 

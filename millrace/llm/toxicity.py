@@ -6,8 +6,9 @@ per coordinate and an L1 term, which leaves most weights at zero: the model is a
 pairs, so what scoring broadcasts is bounded by DIMS whatever the corpus.
 
 Training reads at most `max_rows` labelled documents (lowest hash of doc_id first), and of these as many as have up to
-`max_features` coordinates together: two documented bounds of the one task that learns. Scoring reads every document
-whole, one pass without a shuffle.
+`max_features` coordinates together: two documented bounds of the one task that learns. That task holds the rows as they
+were shuffled, some two bytes a coordinate (`pack`), and puts them in order itself: a sort in the JVM would hold them all
+once more beside it. Scoring reads every document whole, one pass without a shuffle.
 
 Defined cases: a null or empty text has no feature and gets the score of the bias alone; repeated rows get equal scores
 and are learnt from once, before the shuffle (of several texts with one id, from that with the least coordinates by order);
@@ -17,6 +18,7 @@ at all the score is 0; extra columns, whatever their names, do not take part. A
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ from .work import batched, map_arrow, map_columns, table
 
 BITS = 20
 DIMS = 1 << BITS
+#: Bytes of text whose features are found at once: the arrays for them are some fifty times as large.
+CHUNK = 1 << 18
 U64 = np.uint64
 _SALT = [U64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x165667B19E3779F9)]
 
@@ -54,6 +58,54 @@ def _distinct(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both >> BITS, (both & (DIMS - 1)).astype(np.int32)
 
 
+def pack(rows: np.ndarray, cols: np.ndarray, n: int) -> list[bytes]:
+    """The distinct coordinates of each of n rows as bytes that sort as the lists of coordinates do.
+
+    Gaps under 2^15 are two bytes, big end first; others four, of which only the first pair has its high bit set.
+    """
+    gap = cols.astype(np.int64)
+    gap[1:] -= np.where(rows[1:] == rows[:-1], cols[:-1], 0)
+    wide = gap >> 15 > 0
+    ends = np.cumsum(1 + wide)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, ">u2")
+    out[ends - 1] = gap & 0x7FFF
+    out[ends[wide] - 2] = 0x8000 | gap[wide] >> 15
+    at = np.concatenate([[0], ends])[np.searchsorted(rows, np.arange(n + 1))].tolist()
+    raw = out.tobytes()
+    return [raw[2 * i : 2 * j] for i, j in zip(at[:-1], at[1:])]
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    """The coordinates of one row."""
+    gap = np.frombuffer(raw, ">u2").astype(np.int32)
+    wide = np.flatnonzero(gap & 0x8000)
+    if len(wide):
+        gap[wide + 1] += (gap[wide] & 0x7FFF) << 15
+        gap = np.delete(gap, wide)
+    return np.cumsum(gap, dtype=np.int32)
+
+
+def coordinates(raw: bytes) -> int:
+    """How many coordinates a packed row has."""
+    return int((np.frombuffer(raw, ">u2") < 0x8000).sum())
+
+
+def first_rows(rows: Iterator[tuple[int, int, int, bytes]], max_features: int) -> list[tuple[int, bytes]]:
+    """(label, packed coordinates) of the rows (hash, id, label, packed coordinates), which come in any order, in that of
+    hash and id: as many from the first on as have up to max_features coordinates together. No more are held at any time."""
+    heap: list[tuple[int, int, int, int, bytes]] = []  # the last row in order is on top
+    left, end = max_features, None
+    for h, k, y, raw in rows:
+        if end is None or (h, k) < end:
+            n = coordinates(raw)
+            heapq.heappush(heap, (-h, -k, n, y, raw))
+            left -= n
+            while left < 0:
+                h, k, n, _, _ = heapq.heappop(heap)
+                left, end = left + n, (-h, -k)
+    return [(y, raw) for _, _, _, y, raw in sorted(heap, reverse=True)]
+
+
 class Ftrl:
     """FTRL-proximal for binary features; coordinate DIMS is the bias, which carries no L1."""
 
@@ -100,40 +152,29 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 25_000, max_featur
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def featurise(b: pa.RecordBatch) -> pa.RecordBatch:
-        lists: list[np.ndarray] = []
-        for i, j, data, bounds in tb.chunks(b.column(1)):
-            r, c = _distinct(*features(data, bounds))
-            lists.extend(np.split(c, np.searchsorted(r, np.arange(1, j - i))))
-        offs = np.zeros(len(lists) + 1, np.int32)
-        np.cumsum([len(x) for x in lists], out=offs[1:])
-        flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32())
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(offs), flat)], names=["doc_id", "y", "at"])
+        packed: list[bytes] = []
+        for i, j, data, bounds in tb.chunks(b.column(1), CHUNK):
+            packed.extend(pack(*_distinct(*features(data, bounds)), j - i))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["doc_id", "y", "at"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple[np.ndarray, int]] = []
-        left = max_features
-        for b in batches:
-            at = b.column(2)
-            flat, offs = np.asarray(at.values), np.asarray(at.offsets)
-            for k, y in enumerate(b.column(1).to_pylist()):
-                left -= int(offs[k + 1] - offs[k])
-                if left >= 0:
-                    seen.append((flat[offs[k] : offs[k + 1]].copy(), y))
+        seen = first_rows((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), max_features)
         if not seen:
             return
         model = Ftrl()
         for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(seen)):
-                model.learn(*seen[k])
+                y, raw = seen[k]
+                model.learn(unpack(raw), y)
         w = model.weights(np.arange(DIMS + 1))
         at = np.flatnonzero(w[:DIMS]).astype(np.int32)
         yield pa.RecordBatch.from_pydict({"at": [at.tolist()], "w": [w[at].tolist()], "bias": [float(w[DIMS])]}, pa.schema([("at", pa.list_(pa.int32())), ("w", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
     batched(docs.sparkSession)
-    sample = map_arrow(rows.select("doc_id", "text", "y"), featurise, "doc_id long, y int, at array<int>")
+    sample = map_arrow(rows.select("doc_id", "text", "y"), featurise, "doc_id long, y int, at binary")
     # one row an id: repeated rows are combined where they are, so what the one task reads has a bound
     sample = sample.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("at").alias("at"))
-    got = sample.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "at").mapInArrow(fit, "at array<int>, w array<double>, bias double").collect()
+    got = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "at").coalesce(1).mapInArrow(fit, "at array<int>, w array<double>, bias double").collect()
     if not got:
         return np.zeros(0, np.int32), np.zeros(0), -math.inf
     return np.array(got[0]["at"], np.int32), np.array(got[0]["w"]), got[0]["bias"]
@@ -141,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 25_000, max_featur
 
 def score_arrays(col: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
     out = np.full(len(col), bias)
-    for i, j, data, bounds in tb.chunks(col):
+    for i, j, data, bounds in tb.chunks(col, CHUNK):
         r, c = features(data, bounds)
         live = dense[c] != 0
         r, c = _distinct(r[live], c[live])

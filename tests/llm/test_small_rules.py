@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -270,3 +271,39 @@ def test_vbri_table_is_no_audio():
 
 def test_crc_of_ids_is_unsigned():
     assert zlib.crc32((1).to_bytes(4, "little")) >= 0
+
+
+def test_packed_coordinates_sort_like_lists():
+    rng = random.Random(4)
+    lists = [sorted(rng.sample(range(top), rng.randint(0, min(top, 30)))) for top in (3, 40, 1 << 15, (1 << 15) + 2, toxicity.DIMS) for _ in range(60)]
+    lists += [[], [0], [toxicity.DIMS - 1], [0, 1 << 15], [0, (1 << 15) - 1], [1 << 15]]
+    rows, cols = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array(sum(lists, []), np.int32)
+    packed = toxicity.pack(rows, cols, len(lists))
+    assert [toxicity.unpack(x).tolist() for x in packed] == lists
+    assert [toxicity.coordinates(x) for x in packed] == [len(x) for x in lists]
+    assert sorted(range(len(lists)), key=lambda k: (packed[k], k)) == sorted(range(len(lists)), key=lambda k: (lists[k], k))
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 40, 1000])
+def test_first_rows_in_any_order(most):
+    rng = random.Random(most)
+    rows = [(rng.choice([-(2**63), -5, 0, 9, 2**63 - 1]), k, k % 2, b"\0\1" * rng.randint(0, 6)) for k in range(60)]
+    want, left = [], most
+    for _, _, y, raw in sorted(rows):
+        left -= len(raw) // 2
+        if left >= 0:
+            want.append((y, raw))
+    for _ in range(5):
+        rng.shuffle(rows)
+        assert toxicity.first_rows(iter(rows), most) == want
+
+
+def test_features_take_little_memory():
+    """A batch's arrays are of a part of its text, as two workers, their vocabularies and the JVM share one executor."""
+    rng = random.Random(5)
+    texts = pa.array([" ".join("".join(rng.choices("abcdef", k=5)) for _ in range(500)) for _ in range(1000)])
+    tracemalloc.start()
+    toxicity.score_arrays(texts, np.ones(toxicity.DIMS), 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
