@@ -4,7 +4,8 @@ A text is cut where the tokenizer itself always cuts, and the ids of each distin
 32-bit bytes, so a text's ids are a join of cached pieces. The cache is bounded and lives as long as the worker.
 A text that holds a string of the vocabulary's added tokens (`<|endoftext|>`) goes to the library whole, which finds them.
 A new piece of Latin letters alone, with or without a leading blank, is one word to the tokenizer's pre-tokenizer, so
-it goes to the library's merge model directly; any other piece goes through the whole tokenizer.
+it goes to the library's merge model directly; the ASCII punctuation at its end, however long, is the pre-tokenizer's next
+word, so that the ids of the two are joined. Any other piece goes through the whole tokenizer.
 The vocabulary file's path is a parameter; in the queries it comes from the installed `public_tokenizers`.
 """
 
@@ -13,12 +14,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from operator import attrgetter
 
 #: Pieces in each of two generations.
 CACHE = 300_000
 #: Pieces longer than this are encoded but not kept.
 KEEP = 48
 
+_ID = attrgetter("id")
 _loaded: dict[tuple[str, bool], "Pieces"] = {}
 
 
@@ -30,6 +33,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+#: What stands for a Latin letter, or for the blank, in the words of a byte-level vocabulary.
+_AS_BYTES = {c: c.encode().decode("latin-1").translate(_LETTERS) for c in map(chr, range(0x250)) if c.isalpha() or c == " "}
+#: ASCII punctuation without the apostrophe, which may begin a word of its own ('s).
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 class Pieces(dict):
@@ -52,23 +59,26 @@ class Pieces(dict):
     def _latin(self, piece: str) -> str | None:
         """The piece as the merge model takes it, if it is a single word of Latin letters."""
         word = piece.lower() if self.fold else piece
+        blank = not self.fold and word[0] == " "
+        if not (word[1:] if blank else word).isalpha():
+            return None
         if word.isascii():
-            if word.isalpha():
-                return word
-            return "Ġ" + word[1:] if not self.fold and word[0] == " " and word[1:].isalpha() else None
-        body = word[1:] if word[0] == " " and not self.fold else word
-        if body.isalpha() and max(body) < "ɐ":
-            return word.encode().decode("latin-1").translate(_LETTERS)
-        return None
+            return "Ġ" + word[1:] if blank else word
+        try:
+            return "".join(map(_AS_BYTES.__getitem__, word))
+        except KeyError:  # letters that aren't Latin
+            return None
 
     def __missing__(self, piece: str) -> bytes:
         if (got := self.old.get(piece)) is None:
-            if (word := self._latin(piece)) is not None:
-                got = array("I", [t.id for t in self.merge(word)]).tobytes()
-            elif piece[-1] in ".,;:!?" and len(piece) > 1 and piece[-2].isalpha() and self._latin(piece[:-1]) is not None:
-                got = self[piece[:-1]] + self[piece[-1]]
-            else:
+            run = piece.rstrip(_MARKS)
+            word = self._latin(run) if run else None
+            if word is None:
                 got = self.encode(piece)
+            elif len(run) == len(piece):
+                got = array("I", map(_ID, self.merge(word))).tobytes()
+            else:
+                got = self[run] + self[piece[len(run) :]]
         if len(piece) <= KEEP:
             if len(self) >= self.most:  # the last generation answers until it too is replaced
                 self.old = dict(self)
@@ -114,4 +124,4 @@ def byte_ids(text: str, path: str) -> bytes:
         return pieces.encode(text)
     if "\x00" in text:
         return pieces.joined([p for p in _CUTS.split(text) if p])
-    return pieces.joined([p for p in text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if p])
+    return pieces.joined(text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00"))  # an empty piece has no ids

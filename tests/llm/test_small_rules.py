@@ -307,3 +307,22 @@ def test_features_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20e6
+
+
+@pytest.mark.parametrize("name,fn,fold", [("word_bpe_49k.json", public_vocab.word_ids, True), ("byte_bpe_50k.json", public_vocab.byte_ids, False)])
+def test_words_with_marks_take_no_whole_tokenizer(name, fn, fold, monkeypatch):
+    """Latin words go to the merge model whatever punctuation follows; the whole tokenizer sees each run of marks once."""
+    path, library = public_tokenizers.path(name), Tokenizer.from_file(public_tokenizers.path(name))
+    monkeypatch.setattr(public_vocab, "_loaded", {})
+    pieces, whole = public_vocab.load(path, fold), []
+    monkeypatch.setattr(pieces, "encode", lambda p, as_was=pieces.encode: whole.append(p) or as_was(p))
+    rng, marks = random.Random(6), [",###", "***", "...", '."', "-", "%%%", ")]", "/_"]
+    texts = [" ".join("".join(rng.choices("aeiñéßİȺǅſK", k=rng.randint(1, 9))) + rng.choice([*marks, ""]) for _ in range(40)) for _ in range(40)]
+    texts += [" ".join("".join(rng.choices("abcdeéñ", k=6)) + rng.choice(marks) for _ in range(40)) for _ in range(40)]
+    for k, t in enumerate(texts):
+        if k == 40:
+            whole.clear()
+        assert fn(t, path) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    assert set(whole) <= {*marks, ""} and len(whole) <= len(marks) + 1
+    for t in ["it's,", "x'll... y'", "a,'s b.'t", "a'###", "é#' d", "a?!b", "1,### a1,"]:
+        assert fn(t, path) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
