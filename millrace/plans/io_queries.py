@@ -64,7 +64,7 @@ def language_stream(spark, d):
     """A source with a folder per language, of which two are read, each until it has 100,000 bytes."""
     root = new_dir(spark, "stack")
     r = records(spark, d).select("ord", "text", "language")
-    r.repartition("language").write.partitionBy("language").parquet(root)
+    r.write.partitionBy("language").parquet(root)
     got = readers.stack(spark, root, ["en", "de"], "ord long, text string, language string", 100_000)
     return got.where("origin IS NOT NULL AND written IS NOT NULL").select(F.col("ord").alias("doc_id"), "language")
 

@@ -81,7 +81,9 @@ def stack(spark: SparkSession, root: str, languages: list[str], schema: str, mos
     if most is None:
         return df
     sizes = df.select("language", order, F.octet_length("text").cast("long").alias("_bytes"))
-    return df.join(quota_prefix(sizes, "_bytes", "language", F.lit(most), [order]).select(order), order, "left_semi")
+    # a row per language: the texts are not shuffled for it
+    last = quota_prefix(sizes, "_bytes", "language", F.lit(most), [order]).groupBy("language").agg(F.max(order).alias("_last"))
+    return df.join(F.broadcast(last), "language").where(F.col(order) <= F.col("_last")).select(*df.columns)
 
 
 def with_origin(df: DataFrame) -> DataFrame:

@@ -188,6 +188,32 @@ def test_repository_scan(spark, tmp_path):
     assert {(r.path, r.category, r.text) for r in got} == {("a.py", "code", "x = 1"), ("README.md", "documentation", "ä")}
 
 
+def test_a_languages_texts_are_written_and_cut_without_a_shuffle(spark, tmp_path):
+    docs = [(i, "é" * (i % 7 + 1), "en" if i % 3 else "de") for i in range(200)]
+    root = str(tmp_path / "stack")
+    spark.createDataFrame(docs, "ord long, text string, language string").repartition(4).write.partitionBy("language").parquet(root)
+    df = readers.stack(spark, root, ["en", "de"], "ord long, text string, language string", 100)
+    want, total = set(), {"en": 0, "de": 0}
+    for i, text, language in docs:
+        if total[language] < 100:
+            want.add(i)
+        total[language] += len(text.encode())
+    assert {r.ord for r in df.collect()} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(ord" in x]
+
+
+def test_language_stream_writes_in_the_tasks_that_read(spark, small, monkeypatch):
+    from millrace.plans import io_queries
+
+    roots = []
+    monkeypatch.setattr(io_queries, "new_dir", lambda s, name, f=io_queries.new_dir: roots.append(f(s, name)) or roots[-1])
+    monkeypatch.setattr(io_queries, "records", lambda s, d, f=io_queries.records: f(s, d).repartition(5))
+    io_queries.language_stream(spark, small)
+    found = os.listdir(roots[0].removeprefix("file://") + "/language=en")
+    assert len([x for x in found if x.endswith(".parquet")]) == 5
+
+
 def test_block_holes_with_a_name_that_ends_in_def(spark, tmp_path):
     """The SQL takes a name's end in the comment for the definition's beginning; so does the query."""
     import hashlib
