@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from ..functions import policy as P
 from ..functions import text as X
 from ..operators.select import quota_prefix
+from ..shipping import ship
+from ..storage import cut, qualified
+from . import tree
 
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "source", "category", "language", "repository", "path", "license")])
 
@@ -36,12 +39,18 @@ def records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 def repository(spark: SparkSession, root: str, source: str, license_name: str, seed: int = 0) -> DataFrame:
     """The classifiable, decodable files of a tree as records with `ord`, their place in the seeded hash order.
 
-    Skipped parts count below the root only.
+    Skipped parts count below the root only. Tasks list the folders, level by level, and read the files: neither names nor
+    states of files come to the driver.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split(":", 1)[-1].rstrip("/")
-    rel = F.regexp_replace("path", r"^.*?" + base.lstrip("/").replace(".", r"\.") + "/", "")
-    files = raw.withColumn("path", rel).where(~P.skipped(F.col("path")) & F.is_valid_utf8("content"))
+    ship(spark)
+    root, parts = qualified(spark, root), 4 * spark.sparkContext.defaultParallelism
+    level, found = spark.createDataFrame([("", True)], "path string, folder boolean"), []
+    while level.where("folder").head(1):
+        level = cut(level.where("folder").select("path").repartition(parts, "path").mapInArrow(partial(tree.entries, root), "path string, folder boolean"), "tree-level")
+        found.append(level.where("NOT folder").select("path"))
+    paths = reduce(DataFrame.unionByName, found) if found else level.select("path")
+    raw = paths.where(~P.skipped(F.col("path"))).repartition(parts, "path").mapInArrow(partial(tree.contents, root), "path string, content binary")
+    files = raw.where(F.is_valid_utf8("content"))
     cat, lang = P.classify(F.col("path"))
     out = files.select(F.decode("content", "UTF-8").alias("text"), F.lit(source).alias("source"), cat.alias("category"), lang.alias("language"), F.lit(source).alias("repository"), "path", F.lit(license_name).alias("license"))
     return out.where("category IS NOT NULL").withColumn("ord", X.sha(F.concat_ws(":", F.lit(str(seed)), "path")))

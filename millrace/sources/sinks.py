@@ -9,23 +9,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .tree import open_fs
+
 
 def jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines; an existing target is refused unless overwrite is set. Spark's commit shows all of it or nothing."""
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (pafs.LocalFileSystem(), uri)
-
-
 class _Commit(WriterCommitMessage):
     def __init__(self, name: str, rows: int, ids: int) -> None:
         self.name, self.rows, self.ids = name, rows, ids
@@ -38,7 +35,7 @@ class TokenWriter(DataSourceArrowWriter):
         self.path, self.kind, self.end = options["path"], kind, int(options.get("end", -1))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        fs, root = _fs(self.path)
+        fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"part-{part:05d}-{uuid.uuid4().hex}.{self.kind}"
@@ -69,13 +66,13 @@ class TokenWriter(DataSourceArrowWriter):
         return _Commit(name, rows, ids)
 
     def commit(self, messages: list) -> None:
-        fs, root = _fs(self.path)
+        fs, root = open_fs(self.path)
         got = [m for m in messages if m is not None]
         with fs.open_output_stream(f"{root}/meta.json") as out:
             out.write(json.dumps({"parts": [m.name for m in got], "rows": sum(m.rows for m in got), "tokens": sum(m.ids for m in got), "dtype": "uint16"}).encode())
 
     def abort(self, messages: list) -> None:
-        fs, root = _fs(self.path)
+        fs, root = open_fs(self.path)
         for m in messages:
             if m is not None:
                 fs.delete_file(f"{root}/{m.name}")
@@ -110,7 +107,7 @@ def files(df: DataFrame, root: str, path: str = "path", text: str = "text") -> i
     """Each row's text as a file of a tree; the number of files. Tasks write under the final names: the same row writes the same file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _fs(root)
+        fs, base = open_fs(root)
         for b in batches:
             for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at = f"{base}/{name}"

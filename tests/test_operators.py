@@ -188,6 +188,23 @@ def test_repository_scan(spark, tmp_path):
     assert {(r.path, r.category, r.text) for r in got} == {("a.py", "code", "x = 1"), ("README.md", "documentation", "ä")}
 
 
+def test_repository_scan_lists_and_reads_in_tasks(spark, tmp_path, monkeypatch):
+    """No list of files on the driver; odd names, deep folders, links that lead back and an empty tree."""
+    tree = tmp_path / "a tree"
+    want = {"x y%20.py": "1", "a/b/c/d/e/f.py": "ü", "a/__init__.py": "", "a/b/tree.md": "# t", **{f"lib/{i}/src/m.py": str(i) for i in range(300)}}
+    for name, body in {**want, "a/b/node_modules/z.js": "z", "a/b/n.bin": "z"}.items():
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text(body)
+    os.symlink(tree, tree / "a/b/back")
+    os.symlink(tree / "gone.py", tree / "gone.py")
+    planned = readers.repository(spark, str(tree), "local", "MIT", seed=3)
+    assert "binaryFile" not in planned._jdf.queryExecution().toString()
+    got = planned.collect()
+    assert {r.path: r.text for r in got} == want and len(got) == len(want)
+    (tmp_path / "none").mkdir()
+    assert readers.repository(spark, str(tmp_path / "none"), "local", "MIT").count() == 0
+
+
 def test_a_languages_texts_are_written_and_cut_without_a_shuffle(spark, tmp_path):
     docs = [(i, "é" * (i % 7 + 1), "en" if i % 3 else "de") for i in range(200)]
     root = str(tmp_path / "stack")
