@@ -86,7 +86,11 @@ def jaccard_pairs(spark, d):
 def near_dup_greedy(spark, d):
     """Keep-first survivors of word-set similarity; a row is compared with rows that stay only."""
     r = records(spark, d).select("ord", "text", "language")
-    return dedup.greedy_survivors(r.select("ord"), dedup.similar_pairs(r, 0.82)).select(F.col("ord").alias("doc_id"))
+    member, near = dedup.similar_sets(r, 0.82)
+    # a later row of a class always goes: with its first row, or with the earlier partner that took that one
+    copies = member.where("id <> first").select("id")
+    kept = dedup.greedy_survivors(r.select("ord"), near).join(copies, F.col("ord") == F.col("id"), "left_anti")
+    return kept.select(F.col("ord").alias("doc_id"))
 
 
 def ngram_containment(spark, d):

@@ -50,6 +50,23 @@ def test_similar_pairs_carry_no_word_sets(spark, monkeypatch):
     assert [name for name, columns in written if "w" in columns] == ["word-sets"]
 
 
+def test_near_dup_greedy_is_the_loop(spark, small, monkeypatch):
+    """A row goes if an earlier one that stays is its partner; copies are settled by their class, not pair by pair."""
+    ship(spark)
+    pairs = rows(dedup.similar_pairs(spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("ord"), "text", F.col("lang").alias("language"))))
+    before, kept = {}, set()
+    for left, right, _ in pairs:
+        before.setdefault(right, set()).add(left)
+    ids = sorted(r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect())
+    for i in ids:
+        if not before.get(i, set()) & kept:
+            kept.add(i)
+    seen = []
+    monkeypatch.setattr(dedup, "greedy_survivors", lambda i, p, f=dedup.greedy_survivors: seen.append(p.where("jaccard = 1").count()) or f(i, p))
+    assert {r[0] for r in dedup_queries.near_dup_greedy(spark, small).collect()} == kept and len(kept) < len(ids)
+    assert seen == [0] and any(j == 1 for *_, j in pairs)
+
+
 def test_collector_fold_is_the_loop(spark, small):
     ship(spark)
     got = dict(rows(select_queries.collector_fold(spark, small)))
